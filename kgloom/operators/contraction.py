@@ -96,12 +96,11 @@ def _round(live: DataFrame, step: int, with_path: bool) -> tuple[DataFrame, Data
 
 
 def _undo(gone: DataFrame, done: DataFrame, with_path: bool) -> DataFrame:
-    """Adds the nodes that one round took out: each hangs below a node that is done."""
+    """Adds the nodes that one round took out. Chains go first: leaves of the same round may hang below them."""
     path = ["path"] if with_path else []
-    above = done.select(*[F.col(c).alias(f"a_{c}") for c in ("node", "root", "depth", *path)])
-    beneath = done.select(*[F.col(c).alias(f"b_{c}") for c in ("node", "below", "marked")])
 
-    def hang(df: DataFrame, below: str, marked: str) -> DataFrame:
+    def hang(df: DataFrame, onto: DataFrame, below: str, marked: str) -> DataFrame:
+        above = onto.select(*[F.col(c).alias(f"a_{c}") for c in ("node", "root", "depth", *path)])
         return df.join(above, F.col("parent") == F.col("a_node")).select(
             "node", F.col("a_root").alias("root"), F.expr("if(a_depth < 0, -1L, a_depth + w)").alias("depth"), F.expr(below).alias("below"), F.expr(marked).alias("marked"),
             *([F.expr("concat(a_path, via, array(node))").alias("path")] if path else []),
@@ -111,10 +110,10 @@ def _undo(gone: DataFrame, done: DataFrame, with_path: bool) -> DataFrame:
         "node", F.coalesce("ring", "node").alias("root"), F.expr("if(ring is null, 0L, -1L)").alias("depth"), F.expr("if(ring is null, s, null)").alias("below"), F.expr("if(ring is null, f, null)").alias("marked"),
         *([F.expr("if(ring is null, array(node), null)").alias("path")] if path else []),
     )
-    raked = hang(gone.where("state = 'raked'"), "s", "f")
+    beneath = done.select(*[F.col(c).alias(f"b_{c}") for c in ("node", "below", "marked")])
     spliced = gone.where("state = 'spliced'").join(beneath, F.col("child.node") == F.col("b_node"))
-    chains = hang(spliced, "s + child.cs + 1 + b_below", "f + child.cf + child.own + b_marked")
-    return done.unionByName(roots).unionByName(raked).unionByName(chains)
+    done = cut(done.unionByName(roots).unionByName(hang(spliced, done, "s + child.cs + 1 + b_below", "f + child.cf + child.own + b_marked")))
+    return done.unionByName(hang(gone.where("state = 'raked'"), done, "s", "f"))
 
 
 def _solve_core(live: DataFrame, with_path: bool) -> DataFrame:

@@ -158,7 +158,7 @@ def block_kinds(root: Any) -> Callable:
             return None
         after = rest[rest.index("micro_graph") + 1:]
         single = isinstance(value, dict) and len(after) == 1 and (after[0] == "nodes" and "name" in value or after[0] == "edges" and "target" in value)
-        if len(after) != 2 and not single or len(after) == 2 and isinstance(value, str) and after[1] in ("name", "type", "description"):
+        if len(after) != 2 and not single or len(after) == 2 and isinstance(after[1], str) and not isinstance(value, dict):
             return None
         if after[0] == "nodes":
             name = text_of(value.get("name")) if isinstance(value, dict) else text_of(value)

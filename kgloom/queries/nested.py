@@ -114,8 +114,8 @@ b AS (
   SELECT rec_id, v, CASE json_type(v, '$.micro_graph') WHEN 'VARCHAR' THEN (v->>'$.micro_graph')::JSON ELSE json_extract(v, '$.micro_graph') END AS mg FROM (
     SELECT rec_id, unnest(CASE json_type(j, '$.blocks') WHEN 'ARRAY' THEN json_extract(j, '$.blocks[*]') ELSE CASE WHEN json_extract(j, '$.blocks.block_id') IS NULL THEN json_extract(j, '$.blocks.*') ELSE [json_extract(j, '$.blocks')] END END) AS v FROM g)
   WHERE v->>'$.block_id' IS NOT NULL),
-n AS (SELECT rec_id, trim(v->>'$.block_id') AS block_id, unnest(json_extract(mg, '$.nodes[*]')) AS x FROM b),
-d AS (SELECT rec_id, trim(v->>'$.block_id') AS block_id, unnest(json_extract(mg, '$.edges[*]')) AS x FROM b)
+n AS (SELECT rec_id, trim(v->>'$.block_id') AS block_id, unnest(CASE json_type(mg, '$.nodes') WHEN 'OBJECT' THEN CASE WHEN json_extract(mg, '$.nodes.name') IS NULL THEN json_extract(mg, '$.nodes.*') ELSE [json_extract(mg, '$.nodes')] END ELSE json_extract(mg, '$.nodes[*]') END) AS x FROM b),
+d AS (SELECT rec_id, trim(v->>'$.block_id') AS block_id, unnest(CASE json_type(mg, '$.edges') WHEN 'OBJECT' THEN CASE WHEN json_extract(mg, '$.edges.target') IS NULL THEN json_extract(mg, '$.edges.*') ELSE [json_extract(mg, '$.edges')] END ELSE json_extract(mg, '$.edges[*]') END) AS x FROM b)
 SELECT DISTINCT * FROM (
   SELECT 'mapping' AS kind, e.rec_id, coalesce(nullif(v->>'$.parent', ''), by_key, '') AS parent_key, key AS child_key FROM e LEFT JOIN listed l ON l.rec_id = e.rec_id AND l.child = e.key
   UNION ALL SELECT 'block', rec_id, '', trim(v->>'$.block_id') FROM b

@@ -51,5 +51,10 @@ def test_random_forest_with_rings_matches_brute_force(spark, core):
     assert run(spark, links, marks, core) == brute(links, marks)
 
 
+def test_leaves_of_a_chain_that_is_compressed_in_the_same_round(spark):
+    links = [(f"n{i:03}", f"n{i - 1:03}" if i else None) for i in range(60)] + [(f"x{i:03}", f"n{i:03}") for i in range(60)]
+    assert run(spark, links, {f"x{i:03}" for i in range(0, 60, 3)}, core=2) == brute(links, {f"x{i:03}" for i in range(0, 60, 3)})
+
+
 def test_empty(spark):
     assert run(spark, []) == {}

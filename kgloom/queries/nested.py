@@ -108,7 +108,7 @@ e AS (
   SELECT rec_id, v->>'$.id', v, pos FROM (SELECT rec_id, unnest(json_extract(j, '$[*]')) AS v, generate_subscripts(json_extract(j, '$[*]'), 1) AS pos FROM m WHERE json_type(j) = 'ARRAY') WHERE v->>'$.id' IS NOT NULL),
 listed AS (SELECT rec_id, child, arg_min(key, pos) AS by_key FROM (SELECT rec_id, key, pos, unnest(json_extract_string(v, '$.children[*]')) AS child FROM e) GROUP BY ALL),
 g AS (
-  SELECT graph_id AS rec_id, coalesce(json_extract(block_graph::JSON, '$.block_graph'), block_graph::JSON) AS j
+  SELECT graph_id AS rec_id, CASE json_type(block_graph::JSON, '$.block_graph') WHEN 'VARCHAR' THEN (block_graph->>'$.block_graph')::JSON WHEN 'OBJECT' THEN json_extract(block_graph::JSON, '$.block_graph') ELSE block_graph::JSON END AS j
   FROM block_graphs QUALIFY rank() OVER (PARTITION BY graph_id ORDER BY loaded_at DESC) = 1),
 b AS (
   SELECT rec_id, v, CASE json_type(v, '$.micro_graph') WHEN 'VARCHAR' THEN (v->>'$.micro_graph')::JSON ELSE json_extract(v, '$.micro_graph') END AS mg FROM (

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm.chunking import LIMIT, block_texts, cut_texts
+from kgloom.llm.leaks import leaks
+from kgloom.llm.terms import marked, ngram_counts
 from kgloom.llm.conversations import export_verdicts, fold_events, speaker, verdicts
-from kgloom.operators.current import trimmed
+from kgloom.operators.current import current_rows, trimmed
 from kgloom.operators.ranking import numbered
+from kgloom.session import cut
 from kgloom.sources.tables import table
 
 # 3: splitting oversized items
@@ -95,3 +98,47 @@ SELECT DISTINCT o AS origin, c AS conv_key FROM (
   UNION ALL SELECT o, c FROM n WHERE k = 'u' AND (o, c, id) NOT IN (SELECT (o, c, id) FROM climb)
   UNION ALL SELECT 'chat_exports', export_id::VARCHAR FROM chat_exports WHERE export_id NOT IN (SELECT rec_id FROM x))""",
 }
+
+# 5: frequency of terms
+
+
+def _node_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms of both fields of each node's current row, as two sequences."""
+    rows = table(spark, folder, "graph_nodes").where("id is not null").select("id", "updated_at", F.expr("transform(keywords, k -> k.term)").alias("a"), F.col("top_keywords").alias("b"))
+    return current_rows(rows, ["id"], ["updated_at"], ["a", "b"]).select("id", F.array("a", "b").alias("terms"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = cut(_node_terms(spark, folder))
+    return marked(ngram_counts(nodes, "terms"), nodes.count()).where("mark is not null").select("term", "mark")
+
+
+def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term with its number of occurrences and of nodes."""
+    nodes = cut(_node_terms(spark, folder))
+    return marked(ngram_counts(nodes, "terms"), nodes.count()).select("term", "occurrences", F.col("records").alias("nodes"), "mark")
+
+
+def p5_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for up to three consecutive words within a term."""
+    return ngram_counts(_node_terms(spark, folder), "terms", 3, words=True)
+
+
+# 8: evaluation texts in training text
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose tiles of six words or more cover three fifths of an item, in whatever order."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), 6, 0.6)
+
+
+QUERIES |= {"p5_found": p5_found, "p5_terms": p5_terms, "p5_ngrams": p5_ngrams, "p8_found": p8_found, "p8_coverage": p8_coverage}
+
+_DOC_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+SQL["p8_found"] = f"""WITH grams AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT item_id, {_DOC_WORDS} AS w FROM eval_items) WHERE len(w) >= 12)),
+seen AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, {_DOC_WORDS} AS w FROM documents) WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM seen JOIN grams USING (g)"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.functions.vectors import usable_vectors
 from kgloom.llm.chunking import LIMIT, block_texts, cut_texts
 from kgloom.llm.leaks import leaks
+from kgloom.llm.neighbours import nearest
 from kgloom.llm.terms import marked, ngram_counts
 from kgloom.llm.conversations import export_verdicts, fold_events, speaker, verdicts
 from kgloom.operators.current import current_rows, trimmed
@@ -142,3 +144,29 @@ _DOC_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'),
 SQL["p8_found"] = f"""WITH grams AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT item_id, {_DOC_WORDS} AS w FROM eval_items) WHERE len(w) >= 12)),
 seen AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, {_DOC_WORDS} AS w FROM documents) WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM seen JOIN grams USING (g)"""
+
+# 4: most similar vectors
+
+
+def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(usable_vectors(table(spark, folder, "node_vectors")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _neighbours(spark, folder).select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """For every vector its ten most similar ones with a cosine of at least 0.85, ranked."""
+    return _neighbours(spark, folder).withColumn("cosine", F.round("cosine", 6))
+
+
+QUERIES |= {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
+
+_UNIT = """usable AS (
+  SELECT id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM (
+    SELECT trim(id, E' \\t\\r\\n') AS id, embedding::DOUBLE[] AS e FROM node_vectors QUALIFY row_number() OVER (PARTITION BY trim(id, E' \\t\\r\\n') ORDER BY updated_at DESC) = 1)
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: isfinite(x))) = 64 AND len(list_filter(e, lambda x: x <> 0)) > 0)"""
+SQL["p4_found"] = f"""WITH {_UNIT},
+near AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS c FROM usable a JOIN usable b ON a.id <> b.id WHERE c >= 0.85)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS r FROM near) WHERE r <= 10"""

@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, k: int = 10, similarity: float = 0.85, recall: f
     by_id = Window.partitionBy("same").orderBy("id")
     few = cut(named.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1))
     firsts = few.groupBy("same").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("vec", "id").alias("vec"))
-    entries = cut(firsts.withColumn("no", F.monotonically_increasing_id()))
+    entries = cut(firsts.orderBy(F.col("ids")[0]).withColumn("no", F.monotonically_increasing_id()))  # in the order of ids, which decides ties
     within = named.join(entries.select("same", "ids"), "same").where("size(ids) > 1").select("id", F.explode("ids").alias("near_id"), F.lit(1.0).alias("cosine")).where("id <> near_id")
     pairs = cut(forest_pairs(entries, similarity, k, trees_for(entries.count(), similarity, recall, leaf), dim, leaf))
     both = pairs.select("a", "b", "cosine").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))

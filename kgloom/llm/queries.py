@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.vectors import usable_vectors
 from kgloom.llm.chunking import LIMIT, block_texts, cut_texts
 from kgloom.llm.leaks import leaks
+from kgloom.llm.mixture import clusters, groups
 from kgloom.llm.neighbours import nearest
 from kgloom.llm.terms import marked, ngram_counts
 from kgloom.llm.conversations import export_verdicts, fold_events, speaker, verdicts
@@ -170,3 +171,31 @@ _UNIT = """usable AS (
 SQL["p4_found"] = f"""WITH {_UNIT},
 near AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS c FROM usable a JOIN usable b ON a.id <> b.id WHERE c >= 0.85)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS r FROM near) WHERE r <= 10"""
+
+# 1: groups of similar vectors
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return groups(usable_vectors(table(spark, folder, "node_vectors")))
+
+
+def p1_clusters(spark: SparkSession, folder: str, typical: int = 5, terms: int = 5) -> DataFrame:
+    """The mixture's clusters, each with its size, its densest members and the most frequent top keywords of its nodes."""
+    members = cut(clusters(usable_vectors(table(spark, folder, "node_vectors"))))
+    dense = Window.partitionBy("cluster").orderBy(F.desc("density"), "id")
+    best = members.withColumn("at", F.row_number().over(dense)).where(F.col("at") <= typical).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("typical_ids"))
+    nodes = current_rows(table(spark, folder, "graph_nodes").where("id is not null").select("id", "updated_at", trimmed("orig_id").alias("orig_id"), "top_keywords"), ["id"], ["updated_at"], ["orig_id", "top_keywords"])
+    words = nodes.select("orig_id", F.explode("top_keywords").alias("term")).select("orig_id", F.lower(trimmed("term")).alias("term")).where("term <> ''").distinct()
+    held = members.select("cluster", F.regexp_extract("id", r"^usr_[^_]*_(.*)$", 1).alias("orig_id")).join(words, "orig_id").groupBy("cluster", "term").count()
+    often = Window.partitionBy("cluster").orderBy(F.desc("count"), "term")
+    top = held.withColumn("at", F.row_number().over(often)).where(F.col("at") <= terms).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("top_keywords"))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    return sizes.join(best, "cluster", "left").join(top, "cluster", "left")
+
+
+QUERIES |= {"p1_found": p1_found, "p1_clusters": p1_clusters}
+
+SQL["p1_found"] = f"""WITH RECURSIVE {_UNIT},
+near AS (SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.id <> b.id WHERE list_dot_product(a.u, b.u) >= 0.85),
+reach AS (SELECT a AS id, a AS other FROM near UNION SELECT r.id, n.b FROM reach r JOIN near n ON r.other = n.a)
+SELECT min(other) AS group_id, id FROM reach GROUP BY id HAVING count(*) >= 3"""

@@ -10,6 +10,7 @@ from kgloom.llm.chunking import LIMIT, block_texts, cut_texts
 from kgloom.llm.leaks import leaks
 from kgloom.llm.mixture import clusters, groups
 from kgloom.llm.neighbours import nearest
+from kgloom.llm.stuffing import stuffed
 from kgloom.llm.terms import marked, ngram_counts
 from kgloom.llm.conversations import export_verdicts, fold_events, speaker, verdicts
 from kgloom.operators.current import current_rows, trimmed
@@ -199,3 +200,17 @@ SQL["p1_found"] = f"""WITH RECURSIVE {_UNIT},
 near AS (SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.id <> b.id WHERE list_dot_product(a.u, b.u) >= 0.85),
 reach AS (SELECT a AS id, a AS other FROM near UNION SELECT r.id, n.b FROM reach r JOIN near n ON r.other = n.a)
 SELECT min(other) AS group_id, id FROM reach GROUP BY id HAVING count(*) >= 3"""
+
+# 10: pages of keywords and links
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffed(table(spark, folder, "documents")).where("stuffed").select("doc_id").distinct()
+
+
+def p10_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its measures and what speaks against it."""
+    return stuffed(table(spark, folder, "documents"))
+
+
+QUERIES |= {"p10_found": p10_found, "p10_measures": p10_measures}

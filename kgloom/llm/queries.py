@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.functions.vectors import usable_vectors
 from kgloom.llm.chunking import LIMIT, block_texts, cut_texts
 from kgloom.llm.leaks import leaks
+from kgloom.llm.mixing import mix
 from kgloom.llm.mixture import clusters, groups
 from kgloom.llm.neighbours import nearest
 from kgloom.llm.stuffing import stuffed
@@ -214,3 +215,17 @@ def p10_measures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p10_found": p10_found, "p10_measures": p10_measures}
+
+# 9: mixing sources
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source, and how often it is repeated."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+QUERIES |= {"p9_mix": p9_mix, "p9_report": p9_report}

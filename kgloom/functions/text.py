@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 #: White space as Unicode has it; the regular expressions of the JVM know only ASCII's by default.
 WS = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
@@ -30,7 +31,7 @@ def _as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def nfkc(values):
     """Unicode normalisation form KC; null stays null."""
     import unicodedata
@@ -168,7 +169,7 @@ def token_estimate(value: Column | str) -> Column:
 def seeded_vector(dimension: int = 384, normalised: bool = True):
     """An Arrow function from text to a vector that only depends on the text, standing in for a model; '' and null give zeros."""
 
-    @arrow_udf("array<float>")
+    @arrow_udf(ArrayType(FloatType()))
     def embed(values):
         import hashlib
 

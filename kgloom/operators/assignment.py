@@ -19,7 +19,7 @@ def by_words(items: DataFrame, clusters: DataFrame, least: float = 0.08) -> Data
     mean of the three best matches of its phrases. Below ``least``, or without tokens, the item is new. ``items`` has item
     and keywords, ``clusters``, which are few, cluster_id, name, description and themes.
     """
-    phrases = lambda array: F.filter(F.transform(F.coalesce(array, F.array().cast("array<string>")), topic_tokens), lambda t: F.size(t) > 0)
+    phrases = lambda array: F.filter(F.transform(F.coalesce(array, F.array().cast("array<string>")), lambda p: topic_tokens(p)), lambda t: F.size(t) > 0)
     said = items.select("item", phrases(F.col("keywords")).alias("ip")).withColumn("it", F.array_distinct(F.flatten("ip")))
     known = clusters.select("cluster_id", phrases(F.concat(F.array("name", "description"), F.coalesce("themes", F.array().cast("array<string>")))).alias("cp")).withColumn("ct", F.array_distinct(F.flatten("cp")))
     pairs = said.join(F.broadcast(bounded(known.where(F.size("ct") > 0))), F.size("it") > 0)

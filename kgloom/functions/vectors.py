@@ -95,3 +95,28 @@ def close_pairs(values, threshold: float, strip: int = 1024):
             cosine = np.round(np.einsum("ij,ij->i", exact[a], exact[b]), 12)
             sure = cosine >= threshold
             yield a[sure], b[sure], cosine[sure]
+
+
+def close_rows(values, threshold: float, k: int, strip: int = 512, spare: int = 54):
+    """(i, j, cosine) of each row's ``k`` and some ``spare`` more nearest others of at least ``threshold``; i < j, pairs may repeat.
+
+    For matrices in which most pairs are close: memory stays at a strip's products.
+    """
+    import numpy as np
+
+    exact = values.astype(np.float64)
+    exact /= np.sqrt(np.einsum("ij,ij->i", exact, exact))[:, None]
+    quick = exact.astype(np.float32)
+    most = min(k + spare, len(values))
+    for start in range(0, len(values), strip):
+        products = quick[start : start + strip] @ quick.T
+        rows = np.arange(len(products))
+        products[rows, rows + start] = -2
+        best = np.argpartition(-products, most - 1, axis=1)[:, :most]
+        i, j = np.repeat(rows + start, most), best.ravel()
+        keep = i != j
+        i, j = i[keep], j[keep]
+        cosine = np.round(np.einsum("ij,ij->i", exact[i], exact[j]), 12)
+        sure = cosine >= threshold
+        i, j, cosine = i[sure], j[sure], cosine[sure]
+        yield np.minimum(i, j), np.maximum(i, j), cosine

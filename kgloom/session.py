@@ -87,3 +87,27 @@ def scratch(spark: SparkSession):
         discard(spark, [p for p in mine if p not in kept])
         if (outer := _written.get()) is not None:
             outer.extend(kept)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    import os
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="kgloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "kgloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for place, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(place, name)
+                z.write(full, os.path.join("kgloom", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)

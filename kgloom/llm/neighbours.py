@@ -18,12 +18,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.functions.vectors import close_pairs, distinct_vectors, packed, unpacked
+from kgloom.functions.vectors import close_pairs, close_rows, distinct_vectors, unpacked
 from kgloom.session import cut
 
 BITS = 64
 #: Vectors of a node at which a query stops to ascend.
 LEAF = 4096
+#: Close pairs for each vector of a node beyond which they are not listed but the best of each vector taken.
+DENSE = 64
 
 
 def trees_for(count: int, similarity: float, recall: float, leaf: int = LEAF) -> int:
@@ -79,10 +81,18 @@ def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim:
         import pyarrow as pa
 
         def best(nos, values):
-            parts = [(a, b, c) for a, b, c in close_pairs(values, similarity) if len(a)]
-            if not parts:
+            parts, pairs = [], 0
+            for part in close_pairs(values, similarity):
+                parts.append(part)
+                pairs += len(part[0])
+                if pairs > DENSE * len(nos):  # too close to list all pairs: the best of each row at a time
+                    parts = list(close_rows(values, similarity, k))
+                    break
+            i, j, cosine = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, int),) * 3
+            if not len(i):
                 return None
-            i, j, cosine = (np.concatenate(x) for x in zip(*parts))
+            _, once = np.unique(i * np.int64(len(nos)) + j, return_index=True)
+            i, j, cosine = i[once], j[once], cosine[once]
             a, b = np.concatenate([i, j]), np.concatenate([j, i])
             both = np.concatenate([cosine, cosine])
             order = np.lexsort((nos[b], -both, a))

@@ -40,6 +40,17 @@ def test_many_equal_vectors(spark):
     assert len(members) == 80 and {r.group_id for r in members} == {"v0000"}
 
 
+def test_a_dense_cloud_of_different_vectors(spark):
+    rng = np.random.default_rng(4)
+    values = (np.ones((600, 8)) + 0.05 * rng.standard_normal((600, 8))).astype("<f4")
+    cos = cosines(values)
+    np.fill_diagonal(cos, -2)
+    want = {(i, int(j)) for i in range(600) for j in np.argsort(-cos[i], kind="stable")[:5]}
+    got = {(int(r.id[1:]), int(r.near_id[1:])) for r in nearest(frame(spark, values), 5, dim=8).collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got) == len(want)
+    assert len(groups(frame(spark, values), dim=8, leaf=128, views=2).collect()) == 600
+
+
 def test_empty(spark):
     df = frame(spark, [[1.0, 2.0]])
     assert nearest(df.limit(0), dim=2).collect() == [] and groups(df.limit(0), dim=2).collect() == [] and clusters(df.limit(0), dim=2).collect() == []

@@ -87,9 +87,15 @@ def formulas(text: str, most: int = 5) -> list[tuple[str, float]]:
     return [(n, round(0.62 - 0.015 * i, 6)) for i, n in enumerate(list(found)[:most])]
 
 
+def text_grams(df: DataFrame, key: str, text: str, most_n: int = 3) -> DataFrame:
+    """``key`` and term of every gram of every text; tokens are a column of their own, or each gram would split the text again."""
+    tokens = df.select(key, topic_tokens(text).alias("_tokens")).where(F.size("_tokens") > 0)
+    return tokens.select(key, F.explode(grams(F.col("_tokens"), most_n)).alias("term"))
+
+
 def gram_counts(df: DataFrame, key: str, text: str, most_n: int = 3, most: int = 100) -> DataFrame:
     """``key``, term, n and rank of each text's most frequent grams; equal ones in alphabetical order."""
-    rows = df.select(key, F.explode(grams(topic_tokens(text), most_n)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    rows = text_grams(df, key, text, most_n).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))).where(F.col("rank") <= most)
 
 
@@ -98,7 +104,7 @@ def embedded_keywords(df: DataFrame, key: str, text: str, vector: str, embed, mo
 
     Every distinct gram of the corpus is embedded once and joined back.
     """
-    terms = df.select(key, F.explode(F.array_distinct(grams(topic_tokens(text), most_n))).alias("term"))
+    terms = text_grams(df, key, text, most_n).distinct()
     known = terms.select("term").distinct().withColumn("tv", embed("term"))
     rows = terms.join(known, "term").join(df.select(key, F.col(vector).alias("dv")), key)
     size = norm("tv") * norm("dv")

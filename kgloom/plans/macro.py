@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import grams, preprocessed, seeded_vector, topic_tokens
+from kgloom.functions.text import preprocessed, seeded_vector
 from kgloom.operators.graph import communities, group_metrics, refined_clusters, representatives
+from kgloom.operators.keywords import text_grams
 from kgloom.operators.ranking import numbered
 from kgloom.operators.similarity import adaptive_thresholds, candidate_edges, pooled, similar_pairs, similarity_stats
 from kgloom.session import cut
@@ -35,7 +36,7 @@ def features(sections: DataFrame, settings: Settings = Settings(), embed=None) -
     rows = sections.where("content is not null").select("source_id", "title", "pos", preprocessed("content").alias("text")).where("text <> ''")
     rows = cut(rows.withColumn("vector", embed("text")))
     vectors = pooled(rows.select("source_id", "vector"), ["source_id"], "vector", unit_length=True)
-    terms = rows.select("source_id", F.explode(grams(topic_tokens("text"), settings.longest_gram)).alias("term")).groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    terms = text_grams(rows, "source_id", "text", settings.longest_gram).groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("n"))
     spread = terms.groupBy("term").agg(F.count(F.lit(1)).alias("sources"))
     total = rows.agg(F.count_distinct("source_id").alias("total"))
     scored = terms.join(spread, "term").crossJoin(F.broadcast(total)).withColumn("score", F.col("n") * F.log1p(F.col("total") / F.col("sources")))  # one row

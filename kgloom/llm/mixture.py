@@ -294,10 +294,13 @@ def close_links(rows: DataFrame, similarity: float, leaf: int = LEAF, dim: int =
     A leaf has at most one link per entry. Leaves of more than ``leaf`` rows are compared in all pairs of their parts.
     """
     sizes = rows.groupBy("view", "leaf").count()
-    parts = F.ceil(F.col("count") / F.lit(leaf)).cast("int")
-    large = sizes.where(F.col("count") > leaf).select("view", "leaf", parts.alias("parts"))
-    cut_up = rows.join(large, ["view", "leaf"], "left").withColumn("own", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
-    spread = cut_up.select("view", "no", "vec", "leaf", F.explode_outer(F.expr("if(parts is null, array(''), transform(sequence(0, parts - 1), p -> concat('/', least(p, own), '/', greatest(p, own))))")).alias("part"))
+    large = sizes.where(F.col("count") > leaf).select("view", "leaf", F.ceil(F.col("count") / F.lit(leaf)).cast("int").alias("parts"))
+    if large.isEmpty():  # what mixtures can tell apart always fits
+        spread = rows.select("view", "no", "vec", "leaf", F.lit("").alias("part"))
+    else:
+        cut_up = rows.join(large, ["view", "leaf"], "left").withColumn("own", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
+        pairs = "if(parts is null, array(''), transform(sequence(0, parts - 1), p -> concat('/', least(p, own), '/', greatest(p, own))))"
+        spread = cut_up.select("view", "no", "vec", "leaf", F.explode(F.expr(pairs)).alias("part"))
     blocks = spread.select("view", F.concat("leaf", "part").alias("block"), "no", "vec").repartition("view", "block").sortWithinPartitions("view", "block")
 
     def compared(batches: Iterator) -> Iterator:

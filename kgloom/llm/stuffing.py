@@ -42,14 +42,14 @@ _HANGUL = re.compile(r"[가-힣]")
 _SEPARATOR = re.compile(r"\s[|/·•+]\s|[,;·•|]|\n")
 
 
-def language(text: str, words: list[str]) -> str:
-    """The language whose function words are most frequent, by script for Korean and Chinese."""
-    hangul, han = len(_HANGUL.findall(text)), sum(map(len, _HAN.findall(text)))
-    letters = sum(c.isalpha() for c in text) or 1
-    if max(hangul, han) > 0.2 * letters:
-        return "ko" if hangul >= han else "zh"
-    seen = Counter(words)
-    return max(FUNCTION_WORDS, key=lambda lang: (sum(seen[w] for w in _FUNCTION[lang]), lang == "en"))
+def language(text: str, words: list[str], seen: Counter | None = None) -> str:
+    """The language whose function words are most frequent, by script for Korean and Chinese; ``seen`` counts ``words``."""
+    if not text.isascii():
+        hangul, han = len(_HANGUL.findall(text)), sum(map(len, _HAN.findall(text)))
+        if max(hangul, han) > 0.2 * (sum(map(len, words)) or 1):
+            return "ko" if hangul >= han else "zh"
+    seen = Counter(words) if seen is None else seen
+    return max(FUNCTION_WORDS, key=lambda lang: (sum(n for w, n in seen.items() if w in _FUNCTION[lang]), lang == "en"))
 
 
 _FUNCTION = {lang: frozenset(words) for lang, words in FUNCTION_WORDS.items()}
@@ -58,13 +58,16 @@ _ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
 
 def weight(words: list[str]) -> int:
     """Number of words, two Chinese characters counting as one."""
-    return sum(max(1, len(w) // 2) if "\u4e00" <= w[0] <= "\u9fff" else 1 for w in words)
+    return len(words) + sum(len(w) // 2 - 1 for w in words if len(w) > 3 and "\u4e00" <= w[0] <= "\u9fff")
 
 
 def function_words(segment: str, words: list[str]) -> tuple[int, float]:
     """How many words do grammatical work, and their share; in Chinese, marks in runs of five characters or more."""
+    if segment.isascii():
+        found = [w for w in words if w in _ANY_FUNCTION]
+        return len(set(found)), len(found) / max(1, len(words))
     han = _HAN.findall(segment)
-    if sum(map(len, han)) * 2 > sum(map(len, words)):
+    if han and sum(map(len, han)) * 2 > sum(map(len, words)):
         marks = sum(c in CHINESE_MARKS for r in han if len(r) >= 5 for c in r)
         return marks, marks / max(1, weight(words))
     if _HANGUL.search(segment):
@@ -114,7 +117,7 @@ def segments(text: str) -> tuple[Counter, list[tuple[str, list[str]]]]:
         joined = lines if len(lines) > 2 and _listlike(lines) else [" ".join(lines)]
         for part in joined:
             for piece in _SENTENCE_END.split(part):
-                words = [w.lower() for w in WORD.findall(piece)]
+                words = WORD.findall(piece.lower()) if piece.isascii() else [w.lower() for w in WORD.findall(piece)]
                 if words:
                     pieces.append((piece, words))
     return counts, pieces
@@ -138,7 +141,8 @@ def measures(text: str | None) -> tuple[str, list[int], list[float]]:
     """Language, NUMBERS (how many words stand in what) and SHARES of a page; all are 0 for a page without words."""
     text = text or ""
     counts, pieces = segments(text)
-    every = [w.lower() for w in WORD.findall(text)]
+    every = WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
+    seen = Counter(every)
     sentence = loose = working = 0
     for piece, words in pieces:
         found, share = function_words(piece, words)
@@ -153,9 +157,9 @@ def measures(text: str | None) -> tuple[str, list[int], list[float]]:
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     n = max(1, len(every))
     return (
-        language(text, every),
+        language(text, every, seen),
         [total, counts["link"], counts["tag"], counts["attribute"], counts["table"], sentence, loose],
-        [working / max(1, total), max(Counter(every).values(), default=0) / n, max(Counter(zip(every, every[1:])).values(), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)) if lines else 0.0, len(_SEPARATOR.findall(text)) / n],
+        [working / max(1, total), max(seen.values(), default=0) / n, max(Counter(zip(every, every[1:])).values(), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)) if lines else 0.0, len(_SEPARATOR.findall(text)) / n],
     )
 
 

@@ -82,6 +82,17 @@ tree AS (
   UNION ALL
   SELECT p.page_id, t.root_id, t.depth + 1, t.path || '/' || p.page_id FROM pages p JOIN tree t ON p.parent = t.page_id)"""
 
+#: Blocks (b), micro nodes (n) and micro edges (d) of block graphs.
+BLOCK_TABLES = """g AS (
+  SELECT graph_id AS rec_id, CASE json_type(block_graph::JSON, '$.block_graph') WHEN 'VARCHAR' THEN (block_graph->>'$.block_graph')::JSON WHEN 'OBJECT' THEN json_extract(block_graph::JSON, '$.block_graph') ELSE block_graph::JSON END AS j
+  FROM block_graphs QUALIFY rank() OVER (PARTITION BY graph_id ORDER BY loaded_at DESC) = 1),
+b AS (
+  SELECT rec_id, v, CASE json_type(v, '$.micro_graph') WHEN 'VARCHAR' THEN (v->>'$.micro_graph')::JSON ELSE json_extract(v, '$.micro_graph') END AS mg FROM (
+    SELECT rec_id, unnest(CASE json_type(j, '$.blocks') WHEN 'ARRAY' THEN json_extract(j, '$.blocks[*]') ELSE CASE WHEN json_extract(j, '$.blocks.block_id') IS NULL THEN json_extract(j, '$.blocks.*') ELSE [json_extract(j, '$.blocks')] END END) AS v FROM g)
+  WHERE v->>'$.block_id' IS NOT NULL),
+n AS (SELECT rec_id, trim(v->>'$.block_id') AS block_id, unnest(CASE json_type(mg, '$.nodes') WHEN 'OBJECT' THEN CASE WHEN json_extract(mg, '$.nodes.name') IS NULL THEN json_extract(mg, '$.nodes.*') ELSE [json_extract(mg, '$.nodes')] END ELSE json_extract(mg, '$.nodes[*]') END) AS x FROM b),
+d AS (SELECT rec_id, trim(v->>'$.block_id') AS block_id, unnest(CASE json_type(mg, '$.edges') WHEN 'OBJECT' THEN CASE WHEN json_extract(mg, '$.edges.target') IS NULL THEN json_extract(mg, '$.edges.*') ELSE [json_extract(mg, '$.edges')] END ELSE json_extract(mg, '$.edges[*]') END) AS x FROM b)"""
+
 SQL = {
     "p6_found": f"""WITH RECURSIVE {_PAGES},
 loose AS (SELECT page_id, parent FROM pages WHERE page_id NOT IN (SELECT page_id FROM tree)),
@@ -99,7 +110,7 @@ SELECT page_id, NULL, NULL FROM pages WHERE page_id NOT IN (SELECT page_id FROM
     "p6_descendants": f"""WITH RECURSIVE {_PAGES}
 SELECT string_split(path, '/')[i + 1] AS page_id, page_id AS descendant_id, (depth - i)::INT AS distance
 FROM tree, LATERAL (SELECT unnest(range(0, depth)) AS i) WHERE depth > 0""",
-    "p2_found": """WITH m AS (
+    "p2_found": f"""WITH m AS (
   SELECT export_id AS rec_id, CASE json_type(mapping) WHEN 'VARCHAR' THEN json_extract_string(mapping, '$')::JSON ELSE mapping::JSON END AS j
   FROM chat_exports WHERE json_valid(mapping)),
 e AS (
@@ -107,15 +118,7 @@ e AS (
   UNION ALL
   SELECT rec_id, v->>'$.id', v, pos FROM (SELECT rec_id, unnest(json_extract(j, '$[*]')) AS v, generate_subscripts(json_extract(j, '$[*]'), 1) AS pos FROM m WHERE json_type(j) = 'ARRAY') WHERE v->>'$.id' IS NOT NULL),
 listed AS (SELECT rec_id, child, arg_min(key, pos) AS by_key FROM (SELECT rec_id, key, pos, unnest(json_extract_string(v, '$.children[*]')) AS child FROM e) GROUP BY ALL),
-g AS (
-  SELECT graph_id AS rec_id, CASE json_type(block_graph::JSON, '$.block_graph') WHEN 'VARCHAR' THEN (block_graph->>'$.block_graph')::JSON WHEN 'OBJECT' THEN json_extract(block_graph::JSON, '$.block_graph') ELSE block_graph::JSON END AS j
-  FROM block_graphs QUALIFY rank() OVER (PARTITION BY graph_id ORDER BY loaded_at DESC) = 1),
-b AS (
-  SELECT rec_id, v, CASE json_type(v, '$.micro_graph') WHEN 'VARCHAR' THEN (v->>'$.micro_graph')::JSON ELSE json_extract(v, '$.micro_graph') END AS mg FROM (
-    SELECT rec_id, unnest(CASE json_type(j, '$.blocks') WHEN 'ARRAY' THEN json_extract(j, '$.blocks[*]') ELSE CASE WHEN json_extract(j, '$.blocks.block_id') IS NULL THEN json_extract(j, '$.blocks.*') ELSE [json_extract(j, '$.blocks')] END END) AS v FROM g)
-  WHERE v->>'$.block_id' IS NOT NULL),
-n AS (SELECT rec_id, trim(v->>'$.block_id') AS block_id, unnest(CASE json_type(mg, '$.nodes') WHEN 'OBJECT' THEN CASE WHEN json_extract(mg, '$.nodes.name') IS NULL THEN json_extract(mg, '$.nodes.*') ELSE [json_extract(mg, '$.nodes')] END ELSE json_extract(mg, '$.nodes[*]') END) AS x FROM b),
-d AS (SELECT rec_id, trim(v->>'$.block_id') AS block_id, unnest(CASE json_type(mg, '$.edges') WHEN 'OBJECT' THEN CASE WHEN json_extract(mg, '$.edges.target') IS NULL THEN json_extract(mg, '$.edges.*') ELSE [json_extract(mg, '$.edges')] END ELSE json_extract(mg, '$.edges[*]') END) AS x FROM b)
+{BLOCK_TABLES}
 SELECT DISTINCT * FROM (
   SELECT 'mapping' AS kind, e.rec_id, coalesce(nullif(v->>'$.parent', ''), by_key, '') AS parent_key, key AS child_key FROM e LEFT JOIN listed l ON l.rec_id = e.rec_id AND l.child = e.key
   UNION ALL SELECT 'block', rec_id, '', trim(v->>'$.block_id') FROM b

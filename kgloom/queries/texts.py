@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import cleaned, contains_chinese, contains_latin, grams, jaccard, nfkc, plain_name, preprocessed, seeded_vector, token_estimate, topic_tokens, without_citations, without_markdown
+from kgloom.functions.text import cleaned, contains_chinese, contains_latin, grams, jaccard, nfkc, STOP_WORDS, plain_name, preprocessed, seeded_vector, token_estimate, topic_tokens, without_citations, without_markdown
 from kgloom.operators.assignment import by_words
 from kgloom.operators.entities import dangling_edges_out, folded_entities, forbidden_edges_out, known_edge_types, names_by_type
 from kgloom.operators.keywords import gram_counts
 from kgloom.operators.parsing import heading_sections
 from kgloom.operators.sequence import chunked
 from kgloom.queries.insights import nodes
-from kgloom.queries.nested import block_nodes
+from kgloom.queries.nested import BLOCK_TABLES, block_nodes
 from kgloom.session import cut
 from kgloom.sources.tables import table
 
@@ -173,6 +173,17 @@ _PRE = _chain(_PRE, ("(?s)~~~.*?~~~", " "), (r"`[^`\n]+`", " "), (r"(?m)^\s*(?:-
 _PUNCT = r"""[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~，。！？；：、《》「」『』（）【】…·]"""
 _MD = _chain(_T, (r"(?m)^>\s*\[!.*?\].*$", ""), (r"!\[.*?\]\(.*?\)", ""), _CODE, ("`[^`]+`", " "), (r"\[\[[^\]|]*\|([^\]]+)\]\]", r"\1"), (r"\[\[([^\]]+)\]\]", r"\1"), (r"\[([^\]]+)\]\([^\)]+\)", r"\1"), (r"(?m)^[\-\*_]{3,}\s*$", ""), (r"(?m)^>\s*", ""), (r"\*\*([^\*]+)\*\*", r"\1"), (r"\*([^\*]+)\*", r"\1"), ("__([^_]+)__", r"\1"), ("_([^_]+)_", r"\1"))
 _NODES = "n AS (SELECT id, title, list_transform(keywords, lambda k: trim(k.term, E' \\t\\r\\n' || chr(160))) AS terms, top_keywords FROM graph_nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_TOKENS = (
+    f"list_filter(list_transform(string_split(lower({_SQUEEZE(_T)}), ' '), lambda t: regexp_replace(regexp_replace(t, '^[^\\p{{L}}\\p{{N}}_]+', ''), '[^\\p{{L}}\\p{{N}}_]+$', '')), "
+    f"lambda t: length(t) BETWEEN 1 AND 48 AND (length(t) > 1 OR t IN ('x', 'y', 'z') OR regexp_matches(t, '[\\x{{4e00}}-\\x{{9fff}}]')) AND t NOT IN ({_STOP}) "
+    "AND NOT regexp_matches(t, '[\\\\{}|^=`]|/.*/|::') AND length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) >= 0.3 * length(t))"
+)
+_MICRO = f"""WITH {BLOCK_TABLES},
+mn AS (SELECT DISTINCT batch, rec_id, name, types, pos FROM (SELECT rec_id || ':' || block_id AS batch, rec_id, trim(CASE json_type(x) WHEN 'VARCHAR' THEN x->>'$' ELSE x->>'$.name' END) AS name,
+  CASE json_type(x, '$.type') WHEN 'ARRAY' THEN list_transform(regexp_extract_all(x->>'$.type', '"([^"]+)"', 1), lambda y: y) WHEN 'VARCHAR' THEN [x->>'$.type'] END AS types, row_number() OVER () AS pos FROM n WHERE json_type(x) <> 'NULL') WHERE name <> ''),
+me AS (SELECT DISTINCT rec_id || ':' || block_id AS batch, trim(coalesce(x->>'$.start', x->>'$.source')) AS start, trim(CASE json_type(x, '$.type') WHEN 'ARRAY' THEN x->>'$.type[0]' ELSE x->>'$.type' END) AS type, trim(x->>'$.target') AS target FROM d)
+"""
 SQL = {
     "i2_citations": f"SELECT doc_id, {_chain(_T, *_CITE)} AS plain FROM documents",
     "i3_preprocessed": f"SELECT doc_id, length({_SQUEEZE(_chain(_PRE, (_PUNCT, ' ')))})::INT AS chars FROM documents",
@@ -185,4 +196,16 @@ SELECT term, count(*) AS n FROM (SELECT DISTINCT id, array_to_string(t[i:i + k -
     "i34_names": f"WITH {_NODES} SELECT id, lower({_SQUEEZE('title')}) AS name FROM n",
     "i41_tokens": "SELECT lower(trim(source, ' ')) AS source, sum(ceil(length(coalesce(text, '')) / 4)::BIGINT)::BIGINT AS tokens FROM documents GROUP BY 1",
     "i27_seeded_norms": "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS squared FROM documents",
+    "a11_headings": f"""WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(chr(10) || text, '\\n(#{{1,3}} )', chr(1) || '\\1', 'g'), chr(1))) AS part FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, regexp_matches(part, '^#{{1,3}} ') AS titled, CASE WHEN regexp_matches(part, '^#{{1,3}} ') THEN regexp_replace(part, '^[^\\n]*\\n?', '') ELSE part END AS text FROM p)
+SELECT doc_id, count(*) AS sections, count(*) FILTER (titled) AS headed FROM (SELECT doc_id, titled, {_SQUEEZE(_MD)} AS c FROM q) WHERE length(c) >= 10 GROUP BY 1""",
+    "i11_tokens": f"SELECT doc_id, len({_TOKENS})::INT AS tokens FROM documents",
+    "g5_top_grams": f"""WITH w AS (SELECT doc_id, {_TOKENS} AS t FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, array_to_string(t[i:i + k - 1], ' ') AS term FROM w, range(1, 3) a(k), LATERAL (SELECT unnest(range(1, len(t) - k + 2)) AS i)) GROUP BY ALL)
+SELECT doc_id, term, n, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS r FROM c) WHERE r <= 5""",
+    "c9_connected_edges": _MICRO + "SELECT batch, start, target, type FROM me WHERE start <> target AND (batch, start) IN (SELECT (batch, name) FROM mn) AND (batch, target) IN (SELECT (batch, name) FROM mn)",
+    "c8_allowed_edges": _MICRO + """, t AS (SELECT batch, name, list_distinct(flatten(list(types))) AS types FROM mn GROUP BY ALL),
+x AS (SELECT me.*, CASE WHEN a.name IS NULL THEN ['unknown'] ELSE a.types END AS st, CASE WHEN b.name IS NULL THEN ['unknown'] ELSE b.types END AS tt FROM me LEFT JOIN t a ON a.batch = me.batch AND a.name = me.start LEFT JOIN t b ON b.batch = me.batch AND b.name = me.target)
+SELECT type, count(*) AS n FROM x WHERE NOT (type = 'requires' AND len(st) > 0 AND list_contains(tt, 'unknown')) AND NOT (type = 'defines' AND list_contains(st, 'Concept') AND list_contains(tt, 'Person')) GROUP BY 1""",
+    "c7_known_types": _MICRO + "SELECT type, count(*) AS n FROM me GROUP BY 1 HAVING count(*) >= 20",
+    "e18_folded_entities": _MICRO + "SELECT name, list_sort(list_distinct(flatten(list(types)))) AS types, count(DISTINCT batch)::INT AS chunks FROM mn GROUP BY 1",
 }

@@ -229,3 +229,27 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p9_mix": p9_mix, "p9_report": p9_report}
+
+_P7 = SQL["p7_found"][: SQL["p7_found"].index("SELECT DISTINCT o AS origin")].rstrip()
+SQL["p7_conversations"] = (
+    _P7
+    + ",\nbad AS ("
+    + SQL["p7_found"][len(_P7) :]
+    + r"""),
+dep AS (
+  SELECT o, c, id, 0 AS depth FROM n WHERE parent IS NULL
+  UNION ALL
+  SELECT n.o, n.c, n.id, depth + 1 FROM dep JOIN n ON n.o = dep.o AND n.c = dep.c AND n.parent = dep.id),
+kept AS (SELECT dep.*, n.k FROM dep JOIN n USING (o, c, id) LEFT JOIN bad ON bad.origin = dep.o AND bad.conv_key = dep.c WHERE n.k <> '' AND bad.origin IS NULL),
+said AS (
+  SELECT 'messages' AS o, trim(conversation_id, E' \t\r\n') AS c, trim(msg_id, E' \t\r\n') AS id, lower(trim(role, E' \t\r\n')) AS r, content, created_at, 0 AS pos FROM messages
+  WHERE trim(conversation_id, E' \t\r\n') <> '' QUALIFY row_number() OVER (PARTITION BY trim(conversation_id, E' \t\r\n'), trim(msg_id, E' \t\r\n') ORDER BY loaded_at DESC, row_id DESC) = 1
+  UNION ALL
+  SELECT 'chat_exports', rec_id::VARCHAR, key, lower(trim(v->>'$.message.author.role', E' \t\r\n')), CASE json_type(v, '$.message.content') WHEN 'VARCHAR' THEN v->>'$.message.content' ELSE
+    CASE json_type(v, '$.message.content.parts') WHEN 'ARRAY' THEN array_to_string([p->>'$' FOR p IN json_extract(v, '$.message.content.parts[*]') IF json_type(p) = 'VARCHAR'], E'\n') ELSE v->>'$.message.content.text' END END, NULL, pos FROM x)
+SELECT o AS origin, c AS conv_key, row_number() OVER (PARTITION BY o, c ORDER BY depth, created_at IS NULL, created_at, CASE o WHEN 'messages' THEN id END, pos) - 1 AS turn,
+  CASE k WHEN 'u' THEN 'user' WHEN 'a' THEN 'assistant' ELSE r END AS role, content FROM kept JOIN said USING (o, c, id)"""
+)
+SQL["p4_neighbours"] = f"""WITH {_UNIT},
+near AS (SELECT a.id AS id, b.id AS near_id, round(list_dot_product(a.u, b.u), 12) AS c FROM usable a JOIN usable b ON a.id <> b.id WHERE list_dot_product(a.u, b.u) >= 0.85)
+SELECT id, near_id, round(c, 6) AS cosine, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, near_id) AS r FROM near) WHERE r <= 10"""

@@ -305,7 +305,7 @@ SELECT 'repeated keyword' AS kind, term, round(least(1.0, c / 5), 6) AS confiden
     "f7_transitions": f"WITH {_N}, {_RUNS} SELECT p AS from_cluster, cluster_id AS to_cluster, count(*) AS n FROM r WHERE p IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2",
     "f5_progression": f"""WITH {_N}, o AS (SELECT id, row_number() OVER (PARTITION BY cluster_id ORDER BY create_time, id) - 1 AS o_at, count(*) OVER (PARTITION BY cluster_id) AS c FROM n WHERE cluster_id IS NOT NULL AND create_time IS NOT NULL),
 g AS (SELECT cluster_id, term, max((o_at < c // 3)::INT) AS e, max((o_at >= c - c // 3)::INT) AS l FROM k5 JOIN o USING (id) WHERE o_at < c // 3 OR o_at >= c - c // 3 GROUP BY ALL)
-SELECT cluster_id, sum(e) AS early, sum(l) AS late, count(*) FILTER (l = 1 AND e = 0) AS fresh FROM g GROUP BY 1 HAVING count(*) FILTER (l = 1 AND e = 0) >= 3 AND sum(l) > sum(e)""",
+SELECT cluster_id, sum(e)::BIGINT AS early, sum(l)::BIGINT AS late, count(*) FILTER (l = 1 AND e = 0) AS fresh FROM g GROUP BY 1 HAVING count(*) FILTER (l = 1 AND e = 0) >= 3 AND sum(l) > sum(e)""",
     "f6_surge": _W + f"""SELECT cluster_id, c AS n FROM (SELECT cluster_id, count(*) AS c, sum(count(*)) OVER () AS w, max(count(*)) OVER () AS m FROM n WHERE create_time >= (SELECT max(create_time) FROM n) - {14 * DAY} GROUP BY 1) WHERE w >= 5 AND m >= 3 AND cluster_id IS NOT NULL""",
     "f8_recency": _W + f"""SELECT cluster_id, CASE WHEN c IS NULL AND u IS NULL THEN 'unknown' WHEN ({NOW} - c) / {DAY} <= 7 THEN 'new' WHEN u IS NOT NULL THEN CASE WHEN ({NOW} - u) / {DAY} <= 7 THEN 'active' WHEN ({NOW} - u) / {DAY} <= 30 THEN 'recent' WHEN ({NOW} - u) / {DAY} <= 90 THEN 'dormant' ELSE 'stale' END
   WHEN ({NOW} - c) / {DAY} <= 30 THEN 'recent' WHEN ({NOW} - c) / {DAY} <= 90 THEN 'dormant' ELSE 'stale' END AS recency FROM (SELECT cluster_id, max(create_time) AS c, max(floor(epoch(updated_at))) AS u FROM n WHERE cluster_id IS NOT NULL GROUP BY 1)""",

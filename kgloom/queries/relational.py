@@ -186,7 +186,7 @@ SQL = {
     "r_full_join": "SELECT nation, customers, suppliers FROM (SELECT c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier GROUP BY 1) USING (nation)",
     "r_as_of_join": """WITH k AS (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2), l AS (SELECT * FROM events WHERE event_type = (SELECT min(event_type) FROM k)), r AS (SELECT * FROM events WHERE event_type = (SELECT max(event_type) FROM k))
 SELECT event_id, user_id, (SELECT arg_max(r.event_id, (r.ts, r.event_id)) FROM r WHERE r.user_id = l.user_id AND r.ts <= l.ts) AS before_id FROM l""",
-    "r_interval_join": "SELECT band, count(*) AS parts FROM part JOIN (SELECT i AS band, 900.0 + 100 * i AS low, 1000.0 + 150 * i AS high FROM range(12) t(i)) ON p_retailprice >= low AND p_retailprice < high GROUP BY 1",
+    "r_interval_join": "SELECT band::INT AS band, count(*) AS parts FROM part JOIN (SELECT i AS band, 900.0 + 100 * i AS low, 1000.0 + 150 * i AS high FROM range(12) t(i)) ON p_retailprice >= low AND p_retailprice < high GROUP BY 1",
     "r_running_total": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders",
     "r_moving_average": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING), 6) AS average FROM events",
     "r_ranks": "SELECT c_custkey, rank() OVER w::INT AS rank, ntile(4) OVER w::INT AS quarter, round(percent_rank() OVER w, 6) AS percent FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)".replace("rank() OVER w::INT", "(rank() OVER w)::INT").replace("ntile(4) OVER w::INT", "(ntile(4) OVER w)::INT"),

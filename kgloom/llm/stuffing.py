@@ -57,8 +57,8 @@ _ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
 
 
 def weight(words: list[str]) -> int:
-    """Number of words, two Chinese characters counting as one."""
-    return len(words) + sum(len(w) // 2 - 1 for w in words if len(w) > 3 and "\u4e00" <= w[0] <= "\u9fff")
+    """Number of words, three Chinese characters counting as two."""
+    return len(words) + sum(len(w) * 2 // 3 - 1 for w in words if len(w) > 2 and "\u4e00" <= w[0] <= "\u9fff")
 
 
 def function_words(segment: str, words: list[str]) -> tuple[int, float]:
@@ -96,7 +96,7 @@ def segments(text: str) -> tuple[Counter, list[tuple[str, list[str]]]]:
         text = ATTRIBUTE.sub(lambda m: taken("attribute")(m) if m.group(1).lower() in usual else m.group(), text)
     paragraphs: list[list[str]] = [[]]
     for line in text.split("\n"):
-        if tags := TAG_LINE.match(line):
+        if (tags := TAG_LINE.match(line)) and function_words(tags.group(1), [w.lower() for w in WORD.findall(tags.group(1))])[1] < 0.15:
             counts["tag"] += len(WORD.findall(line))
             paragraphs.append([])
         elif _TABLE.match(line) and line.count("|") != 1:
@@ -111,7 +111,6 @@ def segments(text: str) -> tuple[Counter, list[tuple[str, list[str]]]]:
             if bullet and bullet.group().strip()[0] not in ">|" or paragraphs[-1] and _ends(paragraphs[-1][-1]):
                 paragraphs.append([])
             paragraphs[-1].append(bare)
-        del tags
     pieces = []
     for lines in paragraphs:
         joined = lines if len(lines) > 2 and _listlike(lines) else [" ".join(lines)]

@@ -9,7 +9,7 @@ STUFFED = {
 }
 FINE = {
     "prose": PROSE * 4, "empty": "", "null": None, "one": "TODO", "table": "| run | score | note |\n|---|---|---|\n" + "| 1 | 0.5 | 22 |\n" * 20, "sentences": "".join(f"- {s.strip()}.\n" for s in (PROSE * 4).split(".") if s.strip()),
-    "some links": (PROSE + "https://a.example/x ") * 5, "glossary": "index: the list of all the words that are in the text.\nnote: what you write when you do not want to forget it.\n" * 5,
+    "some links": (PROSE + "https://a.example/x ") * 5, "glossary": "index: the list of all the words that are in the text.\nkeyword: what you write when you do not want to forget it.\n" * 5,
     "wrapped": PROSE.replace(" the ", "\n> the ") * 4, "ko": "우리는 11쪽을 읽었지만 단어장은 아직 분명하지 않다. 왜 실험이 없는지 아무도 설명하지 않았다. " * 3, "zh": "我们读了35页，但是笔记还不清楚。没有项目的合同在课上没有用。" * 4, "blank": " \n\t ",
 }
 

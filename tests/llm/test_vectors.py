@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kgloom.llm.mixture import Mixture, clusters, groups, started
+from kgloom.llm.mixture import Mixture, close_links, clusters, groups, started
 from kgloom.llm.neighbours import leaves, nearest, trees_for
 
 
@@ -82,6 +82,28 @@ def test_groups_match_brute_force(spark, leaf):
     assert got == want if leaf == 4096 else len(got & want) >= 0.9 * len(want)
 
 
+def test_leaves_that_are_too_large_lose_no_link(spark):
+    values = cloud(np.random.default_rng(9), centres=10, each=20, noise=50, spread=0.05)
+    rows = spark.createDataFrame([(0, ".1", i, v.tobytes()) for i, v in enumerate(values)], "view int, leaf string, no long, vec binary")
+    close, n = cosines(values) >= 0.85, len(values)
+
+    def parts(pairs):
+        up = list(range(n))
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+        return [find(x) for x in range(n)]
+
+    got = [(r.a, r.b) for r in close_links(rows, 0.85, leaf=32, dim=8).collect()]
+    assert parts(got) == parts([(i, j) for i in range(n) for j in range(i) if close[i, j]])
+
+
 def test_mixture_recovers_separate_clouds(spark):
     rng = np.random.default_rng(1)
     z = np.concatenate([rng.standard_normal((300, 3)) + c for c in ([0, 0, 9], [9, 0, 0], [0, 9, 0], [-9, 0, 0])])

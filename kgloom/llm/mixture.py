@@ -28,12 +28,12 @@ SAMPLE = 8_000
 CHOICES = (4, 8, 16, 32)
 #: Leading directions that are kept.
 REDUCED = 12
-#: Rows of a component of the index that are compared in one task.
-LEAF = 4096
+#: Rows of a component of the index that are compared with each other, and that one task may hold to divide it further.
+LEAF, HELD = 4096, 16_384
 #: Mixtures over different features in the index.
 VIEWS = 16
 #: Components that one pass divides further; their models are what is broadcast.
-AT_ONCE = 256
+AT_ONCE = 1024
 
 
 def unit(values):
@@ -231,8 +231,8 @@ def _divided(rows: DataFrame, models: dict[tuple, tuple], dim: int) -> DataFrame
     return rows.mapInArrow(run, "view int, leaf string, no bigint, vec binary")
 
 
-def index(entries: DataFrame, views: int = VIEWS, leaf: int = LEAF, dim: int = 64, sample: int = SAMPLE, levels: int = 8) -> DataFrame:
-    """view, leaf, no and vec: every entry (no, vec) once in each view, in leaves of at most ``leaf`` rows where rows can be told apart.
+def index(entries: DataFrame, views: int = VIEWS, held: int = HELD, dim: int = 64, sample: int = SAMPLE, levels: int = 8) -> DataFrame:
+    """view, leaf, no and vec: every entry (no, vec) once in each view, in components of at most ``held`` rows where rows can be told apart.
 
     The first view is the mixture over all rows, by the information criterion; others, and what divides a component
     further, are fitted on at most ``sample`` of its rows. Every row is indexed.
@@ -242,22 +242,52 @@ def index(entries: DataFrame, views: int = VIEWS, leaf: int = LEAF, dim: int = 6
     first, _ = fit(entries, reduction, sample_of(entries, dim, sample), dim=dim)
     rows = entries.select(F.explode(F.array(*[F.lit(v) for v in range(views)])).alias("view"), F.lit("").alias("leaf"), "no", "vec")
     projections = {v: reduction.view(v) for v in range(views)}
-    rows = cut(_divided(rows, {(0, ""): (first, *projections[0])}, dim))
-    stuck: set[tuple] = set()
+    models = _fit_each(spark, rows.where("view > 0"), [(v, "", reduction.rows) for v in range(1, views)], projections, held, dim, sample) if reduction.rows > held else {}
+    rows = cut(_divided(rows, models | {(0, ""): (first, *projections[0])}, dim))
+    stuck: set[tuple] = {(v, "") for v in range(1, views) if reduction.rows > held and (v, "") not in models}
     for _ in range(levels):
-        large = [(r.view, r.leaf, r["count"]) for r in rows.groupBy("view", "leaf").count().where(F.col("count") > leaf).select("view", "leaf", "count").toLocalIterator()]
+        large = [(r.view, r.leaf, r["count"]) for r in rows.groupBy("view", "leaf").count().where(F.col("count") > held).select("view", "leaf", "count").toLocalIterator()]
         large = [x for x in large if x[:2] not in stuck]
         if not large:
             break
         for part in range(0, len(large), AT_ONCE):
             some = large[part : part + AT_ONCE]
-            models = _fit_each(spark, rows, some, projections, leaf, dim, sample)
+            models = _fit_each(spark, rows, some, projections, held, dim, sample)
             stuck |= {(v, n) for v, n, _ in some if (v, n) not in models}
             rows = cut(_divided(rows, models, dim))
     return rows
 
 
-def _fit_each(spark: SparkSession, rows: DataFrame, nodes: list[tuple], projections: dict, leaf: int, dim: int, sample: int) -> dict:
+def divided_here(x, view: int, leaf: int, sample: int = 2000):
+    """Groups of at most ``leaf`` rows of unit vectors that one task holds, by mixtures over features of the rows themselves.
+
+    Views turn the features differently. Rows that no mixture tells apart stay together.
+    """
+    rng = np.random.default_rng([view, len(x)])
+    todo = [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf:
+            yield rows
+            continue
+        some = x[rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)]]
+        mean, scale = some.mean(axis=0), np.sqrt(np.maximum(some.var(axis=0), 1e-12))
+        _, directions = np.linalg.eigh(np.cov((some - mean).T / scale[:, None]))
+        among = directions[:, ::-1][:, : min(len(mean), 3 * REDUCED)]
+        turn, _ = np.linalg.qr(rng.standard_normal((among.shape[1], among.shape[1])))
+        matrix = among @ turn[:, : min(REDUCED, among.shape[1])] / scale[:, None]
+        z = (some - mean) @ matrix
+        made = [started(z, k, int(rng.integers(1 << 30)), 6) for k in sorted({min(16, max(2, math.ceil(len(rows) / leaf * f))) for f in (1.25, 2)})]
+        best = min(made, key=lambda m: criterion(m.sums(z)[-1], len(z), len(m.means), z.shape[1]))  # noqa: B023
+        label = best.log_parts((x[rows] - mean) @ matrix).argmax(axis=1)
+        kinds = np.unique(label)
+        if len(kinds) < 2:
+            yield rows
+        else:
+            todo += [rows[label == k] for k in kinds]
+
+
+def _fit_each(spark: SparkSession, rows: DataFrame, nodes: list[tuple], projections: dict, held: int, dim: int, sample: int) -> dict:
     """A mixture for each (view, leaf, count), fitted in its own task on at most ``sample`` rows; none where all rows are alike."""
     wanted = F.broadcast(spark.createDataFrame([(v, n, c) for v, n, c in nodes], "view int, leaf string, size bigint"))
     by_hash = Window.partitionBy("view", "leaf").orderBy(F.xxhash64("no"))
@@ -274,7 +304,7 @@ def _fit_each(spark: SparkSession, rows: DataFrame, nodes: list[tuple], projecti
         z = x @ matrix - offset
         if float(z.var(axis=0).sum()) < 1e-12:
             return pd.DataFrame({"view": [], "leaf": [], "model": []})
-        choices = sorted({max(2, min(32, math.ceil(table["size"].iloc[0] / leaf * f))) for f in (1.5, 3)})
+        choices = sorted({max(2, min(32, math.ceil(table["size"].iloc[0] / held * f))) for f in (1.5, 3)})
         made = [started(z, k, 7 + view, 8) for k in choices]
         scores = [criterion(m.sums(z)[-1], len(z), len(m.means), z.shape[1]) for m in made]
         best = made[int(np.argmin(scores))]
@@ -288,13 +318,14 @@ def _fit_each(spark: SparkSession, rows: DataFrame, nodes: list[tuple], projecti
     return {(r.view, r.leaf): (pickle.loads(bytes(r.model)), *projections[r.view]) for r in made.collect()}
 
 
-def close_links(rows: DataFrame, similarity: float, leaf: int = LEAF, dim: int = 64) -> DataFrame:
-    """a and b: links that join, within each leaf, exactly the entries joined by cosines of at least ``similarity``.
+def close_links(rows: DataFrame, similarity: float, leaf: int = LEAF, held: int = HELD, dim: int = 64) -> DataFrame:
+    """a and b: links that join, within each group, exactly the entries joined by cosines of at least ``similarity``.
 
-    A leaf has at most one link per entry. Leaves of more than ``leaf`` rows are compared in all pairs of their parts.
+    Components are divided into groups of at most ``leaf`` rows in the task that holds them. A group has at most one link
+    per entry. Components of more than ``held`` rows, which no mixture divides, are compared in all pairs of their parts.
     """
     sizes = rows.groupBy("view", "leaf").count()
-    large = sizes.where(F.col("count") > leaf).select("view", "leaf", F.ceil(F.col("count") / F.lit(leaf)).cast("int").alias("parts"))
+    large = sizes.where(F.col("count") > held).select("view", "leaf", F.ceil(F.col("count") / F.lit(max(1, held // 2))).cast("int").alias("parts"))
     if large.isEmpty():  # what mixtures can tell apart always fits
         spread = rows.select("view", "no", "vec", "leaf", F.lit("").alias("part"))
     else:
@@ -319,15 +350,18 @@ def close_links(rows: DataFrame, similarity: float, leaf: int = LEAF, dim: int =
             at = np.flatnonzero(root != np.arange(len(nos)))
             return pa.RecordBatch.from_arrays([pa.array(nos[root[at]]), pa.array(nos[at])], names=["a", "b"])
 
-        held: list[tuple] = []
+        kept: list[tuple] = []
         name = None
 
         def flush():
-            if held:
-                out = linked(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-                held.clear()
-                if out.num_rows:
-                    yield out
+            if kept:
+                nos, values = np.concatenate([h[0] for h in kept]), np.concatenate([h[1] for h in kept])
+                kept.clear()
+                whole = len(nos) <= leaf or "/" in name[1]
+                for group in [np.arange(len(nos))] if whole else divided_here(unit(values), name[0], leaf):
+                    out = linked(nos[group], values[group])
+                    if out.num_rows:
+                        yield out
 
         for batch in batches:
             if not batch.num_rows:
@@ -339,20 +373,20 @@ def close_links(rows: DataFrame, similarity: float, leaf: int = LEAF, dim: int =
                 if keys[low] != name:
                     yield from flush()
                     name = keys[low]
-                held.append((nos[low:high], values[low:high]))
+                kept.append((nos[low:high], values[low:high]))
         yield from flush()
 
     return blocks.mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
-def groups(vectors: DataFrame, similarity: float = 0.85, least: int = 3, views: int = VIEWS, leaf: int = LEAF, dim: int = 64) -> DataFrame:
+def groups(vectors: DataFrame, similarity: float = 0.85, least: int = 3, views: int = VIEWS, leaf: int = LEAF, held: int = HELD, dim: int = 64) -> DataFrame:
     """group_id (the smallest id) and id of each member of the groups of at least ``least`` vectors that cosines of at least ``similarity`` join.
 
     ``vectors`` has id (unique) and vec. Equal vectors are one entry of the index, however often they come.
     """
     named = cut(distinct_vectors(vectors, dim))
     entries = cut(named.groupBy("same").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("no", F.monotonically_increasing_id()))
-    links = cut(close_links(index(entries.select("no", "vec"), views, leaf, dim), similarity, leaf, dim))
+    links = cut(close_links(index(entries.select("no", "vec"), views, held, dim), similarity, leaf, held, dim))
     joined = connected_components(links).select(F.col("node").alias("no"), "component")
     labelled = entries.join(joined, "no", "left").select("same", "least", "n", F.coalesce("component", "no").alias("component"))
     large = labelled.groupBy("component").agg(F.min("least").alias("group_id"), F.sum("n").alias("n")).where(F.col("n") >= least).select("component", "group_id")

@@ -48,7 +48,7 @@ def test_a_dense_cloud_of_different_vectors(spark):
     want = {(i, int(j)) for i in range(600) for j in np.argsort(-cos[i], kind="stable")[:5]}
     got = {(int(r.id[1:]), int(r.near_id[1:])) for r in nearest(frame(spark, values), 5, dim=8).collect()}
     assert len(got & want) >= 0.99 * len(want) and len(got) == len(want)
-    assert len(groups(frame(spark, values), dim=8, leaf=128, views=2).collect()) == 600
+    assert len(groups(frame(spark, values), dim=8, leaf=128, held=300, views=2).collect()) == 600
 
 
 def test_empty(spark):
@@ -78,7 +78,7 @@ def test_groups_match_brute_force(spark, leaf):
         label = fresh
     size = np.bincount(label, minlength=n)
     want = {(f"v{label[i]:04}", f"v{i:04}") for i in range(n) if size[label[i]] >= 3}
-    got = {(r.group_id, r.id) for r in groups(frame(spark, values), leaf=leaf, dim=8).collect()}
+    got = {(r.group_id, r.id) for r in groups(frame(spark, values), leaf=leaf, held=4 * leaf, dim=8).collect()}
     assert got == want if leaf == 4096 else len(got & want) >= 0.9 * len(want)
 
 
@@ -100,7 +100,7 @@ def test_leaves_that_are_too_large_lose_no_link(spark):
             up[max(a, b)] = min(a, b)
         return [find(x) for x in range(n)]
 
-    got = [(r.a, r.b) for r in close_links(rows, 0.85, leaf=32, dim=8).collect()]
+    got = [(r.a, r.b) for r in close_links(rows, 0.85, leaf=16, held=32, dim=8).collect()]
     assert parts(got) == parts([(i, j) for i in range(n) for j in range(i) if close[i, j]])
 
 

@@ -75,7 +75,7 @@ def distinct_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
     return vectors.select("id", "vec").mapInArrow(run, "id string, vec binary, same binary")
 
 
-def close_pairs(values, threshold: float, strip: int = 1024):
+def close_pairs(values, threshold: float, strip: int = 512):
     """(i, j, cosine) of all pairs i < j of a matrix with a cosine of at least ``threshold``, in strips of rows.
 
     Float32 products choose, float64 ones decide.

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kgloom.operators.contraction import contract_forest
 from kgloom.operators.current import current_rows
 from kgloom.operators.nested import block_kinds, contained, entry_kinds, nodes_of
-from kgloom.session import cut
 from kgloom.sources.tables import table
 
 

@@ -6,8 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-#: Tables written by :func:`cut` in the current :func:`scratch` block.
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
-
-
-def cut(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again, which ends its lineage.
 
     The copy outlives any executor, keeps column pruning for what reads it, and tells its row count from file footers.
@@ -51,44 +45,9 @@ def cut(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if (seen := _written.get()) is not None:
-        seen.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables that :func:`cut` wrote."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-
-
-def paths_of(df: DataFrame) -> list[str]:
-    """The folders of a table that :func:`cut` returned."""
-    return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Deletes, at its end, every table cut inside except those handed to the yielded ``keep``."""
-    token = _written.set([])
-    kept: list[str] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(_written.get()[-1])
-        return df
-
-    try:
-        yield keep
-    finally:
-        mine = _written.get()
-        _written.reset(token)
-        discard(spark, [p for p in mine if p not in kept])
-        if (outer := _written.get()) is not None:
-            outer.extend(kept)
-
-
 _shipped: set[str] = set()
 
 

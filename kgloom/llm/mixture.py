@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgloom.functions.vectors import close_pairs, distinct_vectors, packed, unpacked
+from kgloom.functions.vectors import close_pairs, distinct_vectors, unpacked
 from kgloom.operators.components import connected_components
 from kgloom.session import cut
 
@@ -393,5 +393,3 @@ def groups(vectors: DataFrame, similarity: float = 0.85, least: int = 3, views:
     kept = labelled.join(large, "component").select("same", "group_id")
     return named.join(kept, "same").select("group_id", "id")
 
-
-__all__ = ["Mixture", "Reduction", "clusters", "close_links", "fit", "groups", "index", "packed"]

@@ -24,6 +24,8 @@ from kgloom.session import cut
 BITS = 64
 #: Vectors of a node at which a query stops to ascend.
 LEAF = 4096
+#: Vectors that agree in all bits and that one task compares; more are spread over tasks in pairs of parts.
+HELD = 32_768
 #: Close pairs for each vector of a node beyond which they are not listed but the best of each vector taken.
 DENSE = 64
 
@@ -36,9 +38,9 @@ def trees_for(count: int, similarity: float, recall: float, leaf: int = LEAF) ->
 
 
 def leaves(codes, start: int, end: int, leaf: int, bit: int = 0):
-    """(start, end, whole) of the highest prefix-tree nodes of at most ``leaf`` of the sorted codes[start:end].
+    """(start, end) of the highest prefix-tree nodes of at most ``leaf`` of the sorted codes[start:end].
 
-    Codes that agree in all bits are cut into overlapping runs.
+    Codes that agree in all bits stay together, however many they are.
     """
     import numpy as np
 
@@ -49,22 +51,22 @@ def leaves(codes, start: int, end: int, leaf: int, bit: int = 0):
             if high > low:
                 yield low, high
         elif at == BITS:
-            for run in range(low, high, leaf // 2):
-                yield run, min(high, run + leaf)
-                if run + leaf >= high:
-                    break
+            yield low, high
         else:
             flag = np.uint64(1 << (BITS - 1 - at))
             middle = low + int(np.searchsorted((codes[low:high] & flag) != 0, True))
             todo += [(middle, high, at + 1), (low, middle, at + 1)]
 
 
-def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim: int = 64, leaf: int = LEAF, seed: int = 17) -> DataFrame:
-    """a, b and cosine of the pairs of entries (no bigint, vec) that are close and among each other's ``k`` best in a node of some tree."""
+def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim: int = 64, leaf: int = LEAF, seed: int = 17, held: int = HELD) -> DataFrame:
+    """a, b and cosine of the pairs of entries (no bigint, vec) that are close and among each other's ``k`` best in a node of some tree.
 
-    def hashed(batches: Iterator) -> Iterator:
+    Entries that agree in all bits are never parted: up to ``held`` of them are compared in one task, more in all pairs of
+    their parts.
+    """
+
+    def coded(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         planes = np.random.default_rng(seed).standard_normal((dim, trees * BITS)).astype(np.float32)
         for batch in batches:
@@ -72,9 +74,24 @@ def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim:
                 piece = batch.slice(part, 2048)
                 sides = (unpacked(piece.column(1), dim) @ planes > 0).reshape(len(piece), trees, BITS)
                 codes = np.packbits(sides, axis=2).view(">u8").reshape(len(piece), trees)
-                signed = (codes ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)  # keeps the order of unsigned codes
-                row = pa.array(np.repeat(np.arange(len(piece)), trees))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(piece))), pa.array(signed.reshape(-1)), piece.column(0).take(row), piece.column(1).take(row)], names=["tree", "code", "no", "vec"])
+                yield piece, (codes ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)  # keeps the order of unsigned codes
+
+    def counted(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for piece, signed in coded(batches):
+            for tree in range(trees):
+                code, n = np.unique(signed[:, tree], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), tree, np.int32)), pa.array(code), pa.array(n.astype(np.int64))], names=["tree", "code", "n"])
+
+    def hashed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for piece, signed in coded(batches):
+            row = pa.array(np.repeat(np.arange(len(piece)), trees))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(piece))), pa.array(signed.reshape(-1)), piece.column(0).take(row), piece.column(1).take(row)], names=["tree", "code", "no", "vec"])
 
     def compared(batches: Iterator) -> Iterator:
         import numpy as np
@@ -102,10 +119,12 @@ def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim:
             x, y = nos[i[keep]], nos[j[keep]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(cosine[keep])], names=["a", "b", "cosine"])
 
-        def nodes(tree, codes, nos, values, last):
+        def nodes(tree, codes, blocks, nos, values, last):
             """Compares all nodes but the last one, which may go on; returns where that begins."""
-            for part in np.split(np.arange(len(tree)), np.flatnonzero(np.diff(tree)) + 1):
-                found = list(leaves(codes, int(part[0]), int(part[-1]) + 1, leaf)) if len(part) else []
+            other = (np.diff(tree) != 0) | (np.diff(blocks) != 0) | ((blocks[1:] > 0) & (np.diff(codes) != 0))
+            for part in np.split(np.arange(len(tree)), np.flatnonzero(other) + 1):
+                whole = len(part) and blocks[part[0]] > 0
+                found = [(int(part[0]), int(part[-1]) + 1)] if whole else list(leaves(codes, int(part[0]), int(part[-1]) + 1, leaf)) if len(part) else []
                 ends = not last and len(part) and part[-1] == len(tree) - 1
                 for low, high in found[:-1] if ends else found:
                     if (out := best(nos[low:high], values[low:high])) is not None:
@@ -115,7 +134,7 @@ def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim:
 
         held = None
         for batch in batches:
-            fresh = (batch.column(0).to_numpy(), (batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)), batch.column(2).to_numpy(), unpacked(batch.column(3), dim))
+            fresh = (batch.column(0).to_numpy(), (batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)), batch.column(2).to_numpy(), batch.column(3).to_numpy(), unpacked(batch.column(4), dim))
             held = fresh if held is None else tuple(np.concatenate(x) for x in zip(held, fresh))
             if len(held[0]) >= 8 * leaf:
                 for out in nodes(*held, last=False):
@@ -127,7 +146,14 @@ def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim:
             yield from nodes(*held, last=True)
 
     rows = entries.select("no", "vec").mapInArrow(hashed, "tree int, code bigint, no bigint, vec binary")
-    ordered = rows.repartitionByRange("tree", "code", "no").sortWithinPartitions("tree", "code", "no")
+    alike = cut(entries.select("no", "vec").mapInArrow(counted, "tree int, code bigint, n bigint").groupBy("tree", "code").agg(F.sum("n").alias("n")).where(F.col("n") > held))
+    if alike.isEmpty():
+        spread = rows.withColumn("block", F.lit(0))
+    else:
+        parts = alike.select("tree", "code", F.ceil(F.col("n") / F.lit(max(1, held // 2))).cast("int").alias("parts"))
+        pairs = "if(parts is null, array(0), transform(filter(sequence(0, parts - 1), p -> p <> own), p -> 1 + least(p, own) * parts + greatest(p, own)))"
+        spread = rows.join(parts, ["tree", "code"], "left").withColumn("own", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.expr(pairs)))
+    ordered = spread.select("tree", "code", "block", "no", "vec").repartitionByRange("tree", "code", "block").sortWithinPartitions("tree", "code", "block", "no")
     return ordered.mapInArrow(compared, "a bigint, b bigint, cosine double").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from kgloom.llm.mixture import Mixture, close_links, clusters, groups, started
-from kgloom.llm.neighbours import leaves, nearest, trees_for
+from kgloom.llm.neighbours import forest_pairs, leaves, nearest, trees_for
 
 
 def frame(spark, values, ids=None):
@@ -51,6 +51,14 @@ def test_a_dense_cloud_of_different_vectors(spark):
     assert len(groups(frame(spark, values), dim=8, leaf=128, held=300, views=2).collect()) == 600
 
 
+@pytest.mark.parametrize("held", [1000, 64])
+def test_vectors_that_agree_in_all_bits_are_all_compared(spark, held):
+    rng = np.random.default_rng(5)
+    entries = frame(spark, rng.uniform(1, 1.9, 120)[:, None] * rng.standard_normal(8)).selectExpr("cast(rank as bigint) as no", "vec")
+    pairs = {(r.a, r.b) for r in forest_pairs(entries, 0.85, 3, 2, 8, leaf=16, held=held).collect()}
+    assert pairs >= {(min(i, j), max(i, j)) for i in range(120) for j in [x for x in range(4) if x != i][:3]}
+
+
 def test_empty(spark):
     df = frame(spark, [[1.0, 2.0]])
     assert nearest(df.limit(0), dim=2).collect() == [] and groups(df.limit(0), dim=2).collect() == [] and clusters(df.limit(0), dim=2).collect() == []

@@ -97,26 +97,43 @@ def close_pairs(values, threshold: float, strip: int = 512):
             yield a[sure], b[sure], cosine[sure]
 
 
-def close_rows(values, threshold: float, k: int, strip: int = 512, spare: int = 54):
-    """(i, j, cosine) of each row's ``k`` and some ``spare`` more nearest others of at least ``threshold``; i < j, pairs may repeat.
+def close_rows(values, threshold: float, k: int, strip: int = 512, tile: int = 2048):
+    """(i, j, cosine) of each row's ``k`` nearest others of at least ``threshold``, of equal ones those that come first; i < j, pairs may repeat.
 
-    For matrices in which most pairs are close: memory stays at a strip's products.
+    For matrices in which most pairs are close: memory stays at a strip's products with a tile of rows, which are float64
+    and rounded like the cosines of :func:`close_pairs`, so that both choose the same.
     """
     import numpy as np
 
     exact = values.astype(np.float64)
     exact /= np.sqrt(np.einsum("ij,ij->i", exact, exact))[:, None]
-    quick = exact.astype(np.float32)
-    most = min(k + spare, len(values))
     for start in range(0, len(values), strip):
-        products = quick[start : start + strip] @ quick.T
-        rows = np.arange(len(products))
-        products[rows, rows + start] = -2
-        best = np.argpartition(-products, most - 1, axis=1)[:, :most]
-        i, j = np.repeat(rows + start, most), best.ravel()
-        keep = i != j
-        i, j = i[keep], j[keep]
-        cosine = np.round(np.einsum("ij,ij->i", exact[i], exact[j]), 12)
-        sure = cosine >= threshold
-        i, j, cosine = i[sure], j[sure], cosine[sure]
-        yield np.minimum(i, j), np.maximum(i, j), cosine
+        rows = exact[start : start + strip]
+        nearest, cosine = np.full((len(rows), k), -1), np.full((len(rows), k), -2.0)
+        for low in range(0, len(values), tile):
+            products = rows @ exact[low : low + tile].T
+            own = np.arange(max(start, low), min(start + len(rows), low + products.shape[1]))
+            products[own - start, own - low] = -2
+            # only what is greater than the k-th so far can still count: what is equal comes later
+            least = np.maximum(cosine[:, -1] + 4e-13, threshold - 1e-12)
+            i, j = np.divmod(np.flatnonzero(products > least[:, None]), products.shape[1])
+            if len(i) > 4 * k * len(rows):
+                products = np.round(products, 12)
+                at = max(0, products.shape[1] - k)
+                kth = np.maximum(np.partition(products, at, axis=1)[:, at], least)[:, None]
+                above, equal = products > kth, products == kth
+                above |= equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))
+                i, j = np.divmod(np.flatnonzero(above), products.shape[1])
+            if not len(i):
+                continue
+            a, fresh = np.unique(i, return_inverse=True)
+            c = np.round(np.einsum("ij,ij->i", rows[i], exact[j + low]), 12)
+            row = np.concatenate([np.repeat(np.arange(len(a)), k), fresh])
+            near, close = np.concatenate([nearest[a].ravel(), j + low]), np.concatenate([cosine[a].ravel(), c])
+            order = np.lexsort((near, -close, row))
+            first = np.searchsorted(row[order], np.arange(len(a)))
+            best = order[first[:, None] + np.arange(k)]
+            nearest[a], cosine[a] = near[best], close[best]
+        i, at = np.nonzero((nearest >= 0) & (cosine >= threshold))
+        j = nearest[i, at]
+        yield np.minimum(i + start, j), np.maximum(i + start, j), cosine[i, at]

@@ -98,6 +98,8 @@ def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim:
         import pyarrow as pa
 
         def best(nos, values):
+            order = np.argsort(nos)  # the smaller no first, which decides ties
+            nos, values = nos[order], values[order]
             parts, pairs = [], 0
             for part in close_pairs(values, similarity):
                 parts.append(part)

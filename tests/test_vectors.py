@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from kgloom.functions.vectors import close_pairs, distinct_vectors, unpacked, usable_vectors
+from kgloom.functions.vectors import close_pairs, close_rows, distinct_vectors, unpacked, usable_vectors
 
 
 def test_usable(spark):
@@ -19,3 +20,15 @@ def test_close_pairs():
     want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.85)) if i < j}
     assert {(int(i), int(j)) for a, b, _ in close_pairs(values, 0.85, 64) for i, j in zip(a, b)} == want
     assert unpacked(__import__("pyarrow").array([values[0].tobytes()]), 4).tolist() == [values[0].tolist()]
+
+
+@pytest.mark.parametrize("noise", [0, 1e-4, 0.05, 0.5])
+def test_close_rows_keeps_the_first_of_equal_ones(noise):
+    rng = np.random.default_rng(2)
+    values = (rng.uniform(1, 1.9, 500)[:, None] * (rng.standard_normal(8) + noise * rng.standard_normal((500, 8)))).astype("<f4")
+    unit = values.astype(float) / np.linalg.norm(values.astype(float), axis=1)[:, None]
+    cosine = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(cosine, -2)
+    want = {(min(i, j), max(i, j)) for i in range(500) for j in np.lexsort((np.arange(500), -cosine[i]))[:10].tolist() if cosine[i, j] >= 0.85}
+    got = {(int(i), int(j)) for a, b, _ in close_rows(values, 0.85, 10, 64, 96) for i, j in zip(a, b)}
+    assert len(got ^ want) <= 2  # of cosines that differ by rounding

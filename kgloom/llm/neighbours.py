@@ -1,11 +1,13 @@
 """The most similar vectors of every vector, by a hash-prefix forest.
 
-Each tree hashes every vector to a long string of bits, one for the side of each of 64 random planes, and keeps the
-vectors in the order of these strings. In that order the vectors with the longest common prefixes are next to each
+Each tree hashes every vector to a string of bits, one for the side of each of some random planes, and keeps the vectors
+in the order of these strings. In that order the vectors with the longest common prefixes are next to each
 other. A query descends to its longest match and ascends, in all trees alike, to the highest node of the prefix tree
-that holds no more than ``leaf`` vectors; all vectors beneath are its candidates and are compared exactly. Nodes differ
-in depth as the data do in density. The number of trees follows from the number of vectors, so that a pair at the wanted
-similarity shares a node in at least one tree with the wanted probability.
+that holds no more than ``leaf`` vectors; all vectors beneath are its candidates and are compared exactly. The
+strings are only as long as evenly spread vectors need, and vectors that agree in all bits are compared however many
+they are: a plane separates a pair with chance angle / pi whatever the data are like, so that with the number of trees
+for that many bits a pair at the wanted similarity shares a node in at least one tree with the wanted probability, in
+dense groups too. A dense group costs the square of its size in each tree.
 
 Equal vectors are one entry, so that a vector repeated in a third of all rows costs no more than any other.
 """
@@ -30,17 +32,21 @@ HELD = 32_768
 DENSE = 64
 
 
+def bits_for(count: int, leaf: int = LEAF) -> int:
+    """Halvings after which nodes of evenly spread vectors are well below ``leaf``."""
+    return min(BITS, math.ceil(max(0.0, math.log2(max(1, count) / (0.6 * leaf)))))
+
+
 def trees_for(count: int, similarity: float, recall: float, leaf: int = LEAF) -> int:
-    """Trees after which a pair of ``similarity`` has met with probability ``recall``: each halving of a node keeps it together with chance 1 - angle / pi."""
-    levels = max(0.0, math.log2(max(1, count) / (0.6 * leaf)))
-    together = (1 - math.acos(similarity) / math.pi) ** levels
+    """Trees after which a pair of ``similarity`` has met with probability ``recall``: each of its bits keeps it together with chance 1 - angle / pi."""
+    together = (1 - math.acos(similarity) / math.pi) ** bits_for(count, leaf)
     return 1 if together > 1 - 1e-9 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
 
 
-def leaves(codes, start: int, end: int, leaf: int, bit: int = 0):
+def leaves(codes, start: int, end: int, leaf: int, bit: int = 0, bits: int = BITS):
     """(start, end) of the highest prefix-tree nodes of at most ``leaf`` of the sorted codes[start:end].
 
-    Codes that agree in all bits stay together, however many they are.
+    Codes that agree in the first ``bits`` stay together, however many they are.
     """
     import numpy as np
 
@@ -50,7 +56,7 @@ def leaves(codes, start: int, end: int, leaf: int, bit: int = 0):
         if high - low <= leaf:
             if high > low:
                 yield low, high
-        elif at == BITS:
+        elif at == bits:
             yield low, high
         else:
             flag = np.uint64(1 << (BITS - 1 - at))
@@ -58,7 +64,7 @@ def leaves(codes, start: int, end: int, leaf: int, bit: int = 0):
             todo += [(middle, high, at + 1), (low, middle, at + 1)]
 
 
-def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim: int = 64, leaf: int = LEAF, seed: int = 17, held: int = HELD) -> DataFrame:
+def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim: int = 64, leaf: int = LEAF, seed: int = 17, held: int = HELD, bits: int = BITS) -> DataFrame:
     """a, b and cosine of the pairs of entries (no bigint, vec) that are close and among each other's ``k`` best in a node of some tree.
 
     Entries that agree in all bits are never parted: up to ``held`` of them are compared in one task, more in all pairs of
@@ -68,11 +74,12 @@ def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim:
     def coded(batches: Iterator) -> Iterator:
         import numpy as np
 
-        planes = np.random.default_rng(seed).standard_normal((dim, trees * BITS)).astype(np.float32)
+        planes = np.random.default_rng(seed).standard_normal((dim, trees * bits)).astype(np.float32)
         for batch in batches:
             for part in range(0, batch.num_rows, 2048):
                 piece = batch.slice(part, 2048)
-                sides = (unpacked(piece.column(1), dim) @ planes > 0).reshape(len(piece), trees, BITS)
+                sides = np.zeros((len(piece), trees, BITS), bool)
+                sides[:, :, :bits] = (unpacked(piece.column(1), dim) @ planes > 0).reshape(len(piece), trees, bits)
                 codes = np.packbits(sides, axis=2).view(">u8").reshape(len(piece), trees)
                 yield piece, (codes ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)  # keeps the order of unsigned codes
 
@@ -126,7 +133,7 @@ def forest_pairs(entries: DataFrame, similarity: float, k: int, trees: int, dim:
             other = (np.diff(tree) != 0) | (np.diff(blocks) != 0) | ((blocks[1:] > 0) & (np.diff(codes) != 0))
             for part in np.split(np.arange(len(tree)), np.flatnonzero(other) + 1):
                 whole = len(part) and blocks[part[0]] > 0
-                found = [(int(part[0]), int(part[-1]) + 1)] if whole else list(leaves(codes, int(part[0]), int(part[-1]) + 1, leaf)) if len(part) else []
+                found = [(int(part[0]), int(part[-1]) + 1)] if whole else list(leaves(codes, int(part[0]), int(part[-1]) + 1, leaf, bits=bits)) if len(part) else []
                 ends = not last and len(part) and part[-1] == len(tree) - 1
                 for low, high in found[:-1] if ends else found:
                     if (out := best(nos[low:high], values[low:high])) is not None:
@@ -171,7 +178,8 @@ def nearest(vectors: DataFrame, k: int = 10, similarity: float = 0.85, recall: f
     firsts = few.groupBy("same").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("vec", "id").alias("vec"))
     entries = cut(firsts.orderBy(F.col("ids")[0]).withColumn("no", F.monotonically_increasing_id()))  # in the order of ids, which decides ties
     within = named.join(entries.select("same", "ids"), "same").where("size(ids) > 1").select("id", F.explode("ids").alias("near_id"), F.lit(1.0).alias("cosine")).where("id <> near_id")
-    pairs = cut(forest_pairs(entries, similarity, k, trees_for(entries.count(), similarity, recall, leaf), dim, leaf))
+    count = entries.count()
+    pairs = cut(forest_pairs(entries, similarity, k, trees_for(count, similarity, recall, leaf), dim, leaf, bits=bits_for(count, leaf)))
     both = pairs.select("a", "b", "cosine").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     queries = entries.where(F.size("ids") <= k).select(F.col("no").alias("a"), F.col("ids").alias("own"))
     others = entries.select(F.col("no").alias("b"), F.col("ids").alias("near"))

@@ -59,6 +59,18 @@ def test_vectors_that_agree_in_all_bits_are_all_compared(spark, held):
     assert pairs >= {(min(i, j), max(i, j)) for i in range(120) for j in [x for x in range(4) if x != i][:3]}
 
 
+@pytest.mark.parametrize("inside", [0.9, 0.97, 0.999])
+def test_nearest_finds_nearly_all_in_a_dense_third(spark, inside):
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal(64)
+    values = np.concatenate([middle + np.sqrt(1 / inside - 1) * rng.standard_normal((1000, 64)), rng.standard_normal((2000, 64))]).astype("<f4")
+    cos = cosines(values)
+    np.fill_diagonal(cos, -2)
+    want = {(i, j) for i in range(1000) for j in np.lexsort((np.arange(3000), -cos[i]))[:10].tolist() if cos[i, j] >= 0.85}
+    got = {(int(r.id[1:]), int(r.near_id[1:])) for r in nearest(frame(spark, values), leaf=64).collect()}
+    assert len(got & want) >= 0.997 * len(want)
+
+
 def test_empty(spark):
     df = frame(spark, [[1.0, 2.0]])
     assert nearest(df.limit(0), dim=2).collect() == [] and groups(df.limit(0), dim=2).collect() == [] and clusters(df.limit(0), dim=2).collect() == []

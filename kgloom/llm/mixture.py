@@ -24,7 +24,7 @@ from kgloom.session import cut
 
 #: Rows on which a mixture starts, and on which those of the index are fitted.
 SAMPLE = 8_000
-#: Numbers of components that are compared.
+#: Numbers of components that are compared; where the last is best, :func:`grown` goes on from there.
 CHOICES = (4, 8, 16, 32)
 #: Leading directions that are kept.
 REDUCED = 12
@@ -185,6 +185,21 @@ def fit(vectors: DataFrame, reduction: Reduction, sample, choices=CHOICES, passe
     return min(mixtures, key=lambda m: score[len(m.means)]), score
 
 
+def grown(vectors: DataFrame, reduction: Reduction, choices=CHOICES, dim: int = 64) -> tuple[Mixture, dict[int, float]]:
+    """Like :func:`fit`, doubling the number of components beyond ``choices`` until the criterion rises again.
+
+    Larger mixtures start on larger samples, of 250 rows for each component where there are as many.
+    """
+    mixture, score = fit(vectors, reduction, sample_of(vectors, dim), choices, dim=dim)
+    while len(mixture.means) == max(score) and 2 * max(score) <= reduction.rows:
+        k = 2 * max(score)
+        more, further = fit(vectors, reduction, sample_of(vectors, dim, max(SAMPLE, 250 * k)), (k,), dim=dim)
+        score |= further
+        if score[k] < score[k // 2]:
+            mixture = more
+    return mixture, score
+
+
 def clusters(vectors: DataFrame, choices=CHOICES, dim: int = 64) -> DataFrame:
     """id, cluster (from 0), confidence (posterior) and density (log density within the cluster) of every vector.
 
@@ -192,7 +207,7 @@ def clusters(vectors: DataFrame, choices=CHOICES, dim: int = 64) -> DataFrame:
     """
     vectors = cut(vectors.select("id", "vec"))
     reduction = Reduction(vectors, dim)
-    mixture, _ = fit(vectors, reduction, sample_of(vectors, dim), choices, dim=dim)
+    mixture, _ = grown(vectors, reduction, choices, dim)
     matrix, offset = reduction.view(0)
 
     def assign(batches: Iterator) -> Iterator:
@@ -393,3 +408,20 @@ def groups(vectors: DataFrame, similarity: float = 0.85, least: int = 3, views:
     kept = labelled.join(large, "component").select("same", "group_id")
     return named.join(kept, "same").select("group_id", "id")
 
+
+
+def typical(members: DataFrame, vectors: DataFrame, dim: int = 64) -> DataFrame:
+    """group_id, id and density (cosine with the mean direction of its group) of ``members`` (group_id, id); ``vectors`` has id and vec."""
+
+    def units(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            values = unit(unpacked(batch.column(2), dim)) if batch.num_rows else np.zeros((0, dim))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["group_id", "id", "u"])
+
+    rows = cut(members.join(vectors, "id").select("group_id", "id", "vec").mapInArrow(units, "group_id string, id string, u array<double>"))
+    middle = rows.groupBy("group_id").agg(F.array(*[F.sum(F.col("u")[i]) for i in range(dim)]).alias("m"))
+    dot = "aggregate(zip_with(u, m, (x, y) -> x * y), 0D, (x, y) -> x + y) / sqrt(aggregate(m, 0D, (x, y) -> x + y * y))"
+    return rows.join(middle, "group_id").select("group_id", "id", F.round(F.expr(dot), 9).alias("density"))

@@ -9,7 +9,7 @@ from kgloom.functions.vectors import usable_vectors
 from kgloom.llm.chunking import LIMIT, block_texts, cut_texts
 from kgloom.llm.leaks import leaks
 from kgloom.llm.mixing import mix
-from kgloom.llm.mixture import clusters, groups
+from kgloom.llm.mixture import clusters, groups, typical
 from kgloom.llm.neighbours import nearest
 from kgloom.llm.stuffing import stuffed
 from kgloom.llm.terms import marked, ngram_counts
@@ -181,21 +181,34 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups(usable_vectors(table(spark, folder, "node_vectors")))
 
 
+def _described(spark: SparkSession, folder: str, members: DataFrame, by: str, typical_ids: int, terms: int) -> DataFrame:
+    """``by``, the densest members and the most frequent top keywords of the nodes, of members (``by``, id, density)."""
+    dense = Window.partitionBy(by).orderBy(F.desc("density"), "id")
+    best = members.withColumn("at", F.row_number().over(dense)).where(F.col("at") <= typical_ids).groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("typical_ids"))
+    nodes = current_rows(table(spark, folder, "graph_nodes").where("id is not null").select("id", "updated_at", trimmed("orig_id").alias("orig_id"), "top_keywords"), ["id"], ["updated_at"], ["orig_id", "top_keywords"])
+    words = nodes.select("orig_id", F.explode("top_keywords").alias("term")).select("orig_id", F.lower(trimmed("term")).alias("term")).where("term <> ''").distinct()
+    held = members.select(by, F.regexp_extract("id", r"^usr_[^_]*_(.*)$", 1).alias("orig_id")).join(words, "orig_id").groupBy(by, "term").count()
+    often = Window.partitionBy(by).orderBy(F.desc("count"), "term")
+    top = held.withColumn("at", F.row_number().over(often)).where(F.col("at") <= terms).groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("top_keywords"))
+    return best.join(top, by, "left")
+
+
 def p1_clusters(spark: SparkSession, folder: str, typical: int = 5, terms: int = 5) -> DataFrame:
     """The mixture's clusters, each with its size, its densest members and the most frequent top keywords of its nodes."""
     members = cut(clusters(usable_vectors(table(spark, folder, "node_vectors"))))
-    dense = Window.partitionBy("cluster").orderBy(F.desc("density"), "id")
-    best = members.withColumn("at", F.row_number().over(dense)).where(F.col("at") <= typical).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("typical_ids"))
-    nodes = current_rows(table(spark, folder, "graph_nodes").where("id is not null").select("id", "updated_at", trimmed("orig_id").alias("orig_id"), "top_keywords"), ["id"], ["updated_at"], ["orig_id", "top_keywords"])
-    words = nodes.select("orig_id", F.explode("top_keywords").alias("term")).select("orig_id", F.lower(trimmed("term")).alias("term")).where("term <> ''").distinct()
-    held = members.select("cluster", F.regexp_extract("id", r"^usr_[^_]*_(.*)$", 1).alias("orig_id")).join(words, "orig_id").groupBy("cluster", "term").count()
-    often = Window.partitionBy("cluster").orderBy(F.desc("count"), "term")
-    top = held.withColumn("at", F.row_number().over(often)).where(F.col("at") <= terms).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("top_keywords"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("confidence"), 4).alias("confidence"))
-    return sizes.join(best, "cluster", "left").join(top, "cluster", "left")
+    return sizes.join(_described(spark, folder, members, "cluster", typical, terms), "cluster", "left")
+
+
+def p1_groups(spark: SparkSession, folder: str, typical_ids: int = 5, terms: int = 5) -> DataFrame:
+    """The groups of p1_found, each with its size, the members nearest to its mean direction and the most frequent top keywords of its nodes."""
+    vectors = cut(usable_vectors(table(spark, folder, "node_vectors")))
+    members = cut(typical(groups(vectors), vectors))
+    sizes = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("density"), 4).alias("closeness"))
+    return sizes.join(_described(spark, folder, members, "group_id", typical_ids, terms), "group_id", "left")
 
 
-QUERIES |= {"p1_found": p1_found, "p1_clusters": p1_clusters}
+QUERIES |= {"p1_found": p1_found, "p1_clusters": p1_clusters, "p1_groups": p1_groups}
 
 SQL["p1_found"] = f"""WITH RECURSIVE {_UNIT},
 near AS (SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.id <> b.id WHERE list_dot_product(a.u, b.u) >= 0.85),

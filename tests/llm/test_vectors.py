@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kgloom.llm.mixture import Mixture, close_links, clusters, groups, started
+from kgloom.llm.mixture import Mixture, close_links, clusters, groups, started, typical
 from kgloom.llm.neighbours import forest_pairs, leaves, nearest, trees_for
 
 
@@ -133,3 +133,18 @@ def test_mixture_recovers_separate_clouds(spark):
     rows = clusters(frame(spark, far), choices=(1, 4, 8), dim=4).collect()
     assert len(rows) == 600 and len({r.cluster for r in rows}) >= 4
     assert isinstance(started(np.zeros((5, 2)), 3, 1), Mixture)
+
+
+def test_clusters_are_as_many_as_the_rows_ask_for(spark):
+    rng = np.random.default_rng(3)
+    middle = rng.standard_normal((100, 6))
+    values = np.repeat(middle / np.linalg.norm(middle, axis=1)[:, None], 40, axis=0) + 0.01 * rng.standard_normal((4000, 6))
+    rows = clusters(frame(spark, values), dim=6).collect()
+    assert len(rows) == 4000 and len({r.cluster for r in rows}) > 60
+
+
+def test_typical_members_are_nearest_to_the_mean(spark):
+    df = frame(spark, [[1, 0], [1, 1], [2, 1], [0, 3], [1, 4]])
+    members = spark.createDataFrame([("a", "v0000"), ("a", "v0001"), ("a", "v0002"), ("b", "v0003"), ("b", "v0004")], "group_id string, id string")
+    got = {r.id: r.density for r in typical(members, df, 2).collect()}
+    assert len(got) == 5 and max("v0000 v0001 v0002".split(), key=got.get) == "v0002" and got["v0003"] == got["v0004"]

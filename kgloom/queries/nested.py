@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.operators.contraction import contract_forest
 from kgloom.operators.current import current_rows
 from kgloom.operators.nested import block_kinds, contained, entry_kinds, nodes_of
+from kgloom.session import cut
 from kgloom.sources.tables import table
 
 
@@ -61,14 +62,34 @@ def p6_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page with every page beneath it; pages on or beneath a ring have no path and are left to p6_found."""
-    done = contract_forest(pages(spark, folder), "page_id", "parent", with_path=True)
+    """Every page with every page beneath it; pages beneath a ring come in p6_hung_descendants, those on it in p6_found."""
+    return _descendants(contract_forest(pages(spark, folder), "page_id", "parent", with_path=True))
+
+
+def _descendants(done: DataFrame) -> DataFrame:
     return done.where("depth > 0").select(F.posexplode(F.expr("slice(path, 1, size(path) - 1)")).alias("pos", "page_id"), F.col("node").alias("descendant_id"), "depth").select(
         "page_id", "descendant_id", (F.col("depth") - F.col("pos")).cast("int").alias("distance")
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_micro_nodes": p2_micro_nodes, "p2_messages": p2_messages, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}
+def _hung(spark: SparkSession, folder: str) -> DataFrame:
+    """The forest of the pages that hang beneath a ring; those whose parent is on the ring are its tops."""
+    rows = cut(pages(spark, folder))
+    loose = contract_forest(rows, "page_id", "parent").where("depth < 0 and below is not null").select(F.col("node").alias("page_id"))
+    return contract_forest(cut(rows.join(loose, "page_id")), "page_id", "parent", with_path=True)
+
+
+def p6_hung_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page beneath a ring with its path from the page that hangs on the ring, and the number of pages beneath it."""
+    return _hung(spark, folder).select(F.col("node").alias("page_id"), F.array_join("path", "/").alias("path"), F.col("below").alias("pages_below"))
+
+
+def p6_hung_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page beneath a ring with every page beneath it, as p6_descendants has them for the other pages."""
+    return _descendants(_hung(spark, folder))
+
+
+QUERIES = {"p2_found": p2_found, "p2_micro_nodes": p2_micro_nodes, "p2_messages": p2_messages, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants, "p6_hung_paths": p6_hung_paths, "p6_hung_descendants": p6_hung_descendants}
 
 _PAGES = r"""
 pages AS (
@@ -81,6 +102,18 @@ tree AS (
   UNION ALL
   SELECT p.page_id, t.root_id, t.depth + 1, t.path || '/' || p.page_id FROM pages p JOIN tree t ON p.parent = t.page_id)"""
 
+_HUNG = r"""
+loose AS (SELECT page_id, parent FROM pages WHERE page_id NOT IN (SELECT page_id FROM tree)),
+climb AS (
+  SELECT page_id, parent AS above FROM loose
+  UNION
+  SELECT c.page_id, l.parent FROM climb c JOIN loose l ON c.above = l.page_id),
+ring AS (SELECT page_id FROM climb WHERE page_id = above),
+hung AS (
+  SELECT page_id, 0 AS depth, page_id AS path FROM loose WHERE page_id NOT IN (SELECT page_id FROM ring) AND parent IN (SELECT page_id FROM ring)
+  UNION ALL
+  SELECT l.page_id, h.depth + 1, h.path || '/' || l.page_id FROM loose l JOIN hung h ON l.parent = h.page_id)"""
+
 #: Blocks (b), micro nodes (n) and micro edges (d) of block graphs.
 BLOCK_TABLES = """g AS (
   SELECT graph_id AS rec_id, CASE json_type(block_graph::JSON, '$.block_graph') WHEN 'VARCHAR' THEN (block_graph->>'$.block_graph')::JSON WHEN 'OBJECT' THEN json_extract(block_graph::JSON, '$.block_graph') ELSE block_graph::JSON END AS j
@@ -109,6 +142,11 @@ SELECT page_id, NULL, NULL FROM pages WHERE page_id NOT IN (SELECT page_id FROM
     "p6_descendants": f"""WITH RECURSIVE {_PAGES}
 SELECT string_split(path, '/')[i + 1] AS page_id, page_id AS descendant_id, (depth - i)::INT AS distance
 FROM tree, LATERAL (SELECT unnest(range(0, depth)) AS i) WHERE depth > 0""",
+    "p6_hung_paths": f"""WITH RECURSIVE {_PAGES}, {_HUNG}
+SELECT t.page_id, t.path, (SELECT count(*) FROM hung u WHERE starts_with(u.path, t.path || '/')) AS pages_below FROM hung t""",
+    "p6_hung_descendants": f"""WITH RECURSIVE {_PAGES}, {_HUNG}
+SELECT string_split(path, '/')[i + 1] AS page_id, page_id AS descendant_id, (depth - i)::INT AS distance
+FROM hung, LATERAL (SELECT unnest(range(0, depth)) AS i) WHERE depth > 0""",
     "p2_found": f"""WITH m AS (
   SELECT export_id AS rec_id, CASE json_type(mapping) WHEN 'VARCHAR' THEN json_extract_string(mapping, '$')::JSON ELSE mapping::JSON END AS j
   FROM chat_exports WHERE json_valid(mapping)),

@@ -58,3 +58,14 @@ def test_leaves_of_a_chain_that_is_compressed_in_the_same_round(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_pages_beneath_a_ring_have_paths_and_descendants(spark, tmp_path):
+    from kgloom.queries.nested import QUERIES
+
+    links = [("r1", "r2"), ("r2", "r1"), ("s", "s"), ("a", "r1"), ("b", "a"), ("c", "b"), ("d", "a"), ("e", "s"), ("top", None), ("low", "top")]
+    spark.createDataFrame([(n, p, 1) for n, p in links], "id string, parent_id string, loaded_at int").write.parquet(str(tmp_path / "page_tree.parquet"))
+    paths = {tuple(r) for r in QUERIES["p6_hung_paths"](spark, str(tmp_path)).select("page_id", "path", "pages_below").collect()}
+    assert paths == {("a", "a", 3), ("b", "a/b", 1), ("c", "a/b/c", 0), ("d", "a/d", 0), ("e", "e", 0)}
+    below = {tuple(r) for n in ("p6_descendants", "p6_hung_descendants") for r in QUERIES[n](spark, str(tmp_path)).select("page_id", "descendant_id", "distance").collect()}
+    assert below == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1), ("top", "low", 1)}

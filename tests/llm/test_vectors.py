@@ -71,6 +71,22 @@ def test_nearest_finds_nearly_all_in_a_dense_third(spark, inside):
     assert len(got & want) >= 0.997 * len(want)
 
 
+def test_partitions_cut_no_string_of_bits(spark):
+    values = np.random.default_rng(7).standard_normal((400, 8))
+    entries = frame(spark, values).selectExpr("cast(rank as bigint) as no", "vec")
+    sides = values.astype("<f4") @ np.random.default_rng(17).standard_normal((8, 3)).astype("f4") > 0
+    same, close = (sides[:, None] == sides[None]).all(axis=2), cosines(values.astype("<f4")) >= 0.85
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if same[i, j] and close[i, j]}
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert {(r.a, r.b) for r in forest_pairs(entries, 0.85, 400, 1, 8, leaf=16, bits=3).collect()} >= want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_empty(spark):
     df = frame(spark, [[1.0, 2.0]])
     assert nearest(df.limit(0), dim=2).collect() == [] and groups(df.limit(0), dim=2).collect() == [] and clusters(df.limit(0), dim=2).collect() == []

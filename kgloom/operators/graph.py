@@ -142,15 +142,17 @@ def merged_overlaps(groups: list[list], least: float = 0.5) -> list[list]:
     return [sorted(m) for m in merged]
 
 
-def communities(edges: DataFrame, members: DataFrame, method: str = "louvain", resolution: float = 1.0, least_size: int = 2, least_weight: float = 0.6, most: int = MOST_EDGES) -> DataFrame:
+def communities(edges: DataFrame, members: DataFrame, method: str = "louvain", resolution: float = 1.0, least_size: int = 2, least_weight: float = 0.6, most: int | None = None) -> DataFrame:
     """group, community and node: each group's communities, by ``louvain``, ``cliques`` (merged where they overlap by half) or ``components``.
 
-    The first two hold a group's edges in one task; groups of more than ``most`` edges go by components instead.
+    The first two hold a group's edges in one task, for cliques those of ``least_weight``, however many there are. Only
+    where ``most`` is given, groups of more edges go by components instead.
     """
     if method == "components":
         return communities_by_components(edges, members, least_weight, least_size).select("group", "community", "node")
     inside = cut(inner_edges(edges, members).select(F.col("group").cast("string").alias("group"), "source", "target", F.col("weight").cast("double").alias("weight")))
-    large = inside.groupBy("group").count().where(F.col("count") > most).select("group")
+    if method == "cliques":
+        inside = inside.where(F.col("weight") >= least_weight)
 
     def run(frame):
         import pandas as pd
@@ -166,9 +168,13 @@ def communities(edges: DataFrame, members: DataFrame, method: str = "louvain", r
         out = [(frame["group"].iloc[0], min(g), n) for g in groups if len(g) >= least_size for n in g]
         return pd.DataFrame(out, columns=["group", "community", "node"])
 
-    found = inside.join(large, "group", "left_anti").groupBy("group").applyInPandas(run, "group string, community bigint, node bigint")
+    made = "group string, community bigint, node bigint"
+    if most is None:
+        return inside.groupBy("group").applyInPandas(run, made)
+    large = inside.groupBy("group").count().where(F.col("count") > most).select("group")
+    found = inside.join(large, "group", "left_anti").groupBy("group").applyInPandas(run, made)
     rest = members.withColumn("group", F.col("group").cast("string")).join(large, "group", "left_semi")
-    return found if large.isEmpty() else found.unionByName(communities_by_components(edges, rest, 0.0, least_size).select("group", "community", "node"))
+    return found if large.isEmpty() else found.unionByName(communities_by_components(edges, rest, least_weight if method == "cliques" else 0.0, least_size).select("group", "community", "node"))
 
 
 def refined_clusters(nodes: DataFrame, edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:

@@ -37,6 +37,17 @@ def test_communities(spark):
     assert G.maximal_cliques([(1, 2, 1), (2, 3, 1), (1, 3, 1), (3, 4, 1)], 2) == [[1, 2, 3], [3, 4]] and G.merged_overlaps([[1, 2, 3], [2, 3], [4, 5]]) == [[1, 2, 3], [4, 5]] and G.louvain([]) == {}
 
 
+def test_large_groups_keep_their_method(spark):
+    import inspect
+
+    assert inspect.signature(G.communities).parameters["most"].default is None
+    links = [(1, 2, 0.9), (2, 3, 0.9), (1, 3, 0.9), (3, 4, 0.9), (4, 5, 0.9), (5, 6, 0.9), (4, 6, 0.9), (6, 7, 0.1)]
+    members = spark.createDataFrame([(n, 0) for n in range(1, 8)], "node bigint, group int")
+    got = {(r.community, r.node) for r in G.communities(edge_frame(spark, links), members, "cliques", least_size=3).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (4, 4), (4, 5), (4, 6)}
+    assert 7 not in {r.node for r in G.communities(edge_frame(spark, links), members, "cliques", most=2).collect()}
+
+
 def test_neighbourhoods_and_paths(spark):
     edges = edge_frame(spark, [(1, 2, 1), (2, 3, 1), (3, 4, 1), (1, 5, 1), (5, 4, 1), (8, 9, 1)])
     seeds = spark.createDataFrame([(1,)], "seed long")

@@ -20,14 +20,74 @@ ANY = "*"
 NODE_SCHEMA = "rec_id bigint, pre int, post int, level int, kind string, key string, body string"
 
 
+def deep_json(text: str) -> Any:
+    """``json.loads`` without recursion, for texts nested deeper than the interpreter's stack; ValueError if not valid JSON."""
+    scalar = json.JSONDecoder().raw_decode
+    space = json.decoder.WHITESPACE.match
+    stack: list[tuple[Any, str | None]] = []  # open containers, each with the key it gets in the one around it
+    at, key = space(text, 0).end(), None
+    while True:
+        # a value begins here
+        mark = text[at : at + 1]
+        if mark and mark in "[{":
+            inside = space(text, at + 1).end()
+            value: Any = [] if mark == "[" else {}
+            if text[inside : inside + 1] != ("]" if mark == "[" else "}"):
+                stack.append((value, key))
+                at, key = inside, None
+                if mark == "{":
+                    key, at = _key(text, at)
+                continue
+            at = inside + 1
+        else:
+            value, at = scalar(text, at)
+        # a value has ended
+        while True:
+            at = space(text, at).end()
+            if not stack:
+                if at != len(text):
+                    raise json.JSONDecodeError("Extra data", text, at)
+                return value
+            around, outer = stack[-1]
+            if isinstance(around, list):
+                around.append(value)
+            else:
+                around[key] = value
+            mark = text[at : at + 1]
+            if mark == ",":
+                at, key = space(text, at + 1).end(), None
+                if isinstance(around, dict):
+                    key, at = _key(text, at)
+                break
+            if mark != ("]" if isinstance(around, list) else "}"):
+                raise json.JSONDecodeError("Expecting ',' or end", text, at)
+            stack.pop()
+            value, key, at = around, outer, at + 1
+
+
+def _key(text: str, at: int) -> tuple[str, int]:
+    """The key at ``at`` and where its value begins."""
+    if text[at : at + 1] != '"':
+        raise json.JSONDecodeError("Expecting a key", text, at)
+    key, at = json.decoder.scanstring(text, at + 1)
+    at = json.decoder.WHITESPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise json.JSONDecodeError("Expecting ':'", text, at)
+    return key, json.decoder.WHITESPACE.match(text, at + 1).end()
+
+
 def read_json(text: Any, times: int = 3) -> Any:
     """The value of a JSON text that may itself have been encoded again; None if it is not valid JSON."""
     for _ in range(times):
         if not isinstance(text, str):
             return text
+        text = text.lstrip("\ufeff")
         try:
-            text = json.loads(text.lstrip("\ufeff"))
-        except (ValueError, RecursionError):
+            try:
+                text = json.loads(text)
+            except RecursionError:
+                text = deep_json(text)
+        except ValueError:
             return None
     return None if isinstance(text, str) else text
 
@@ -79,7 +139,7 @@ def labelled(root: Any, kind_of: Callable[[tuple, Any], tuple[str, str | None, d
                 out.append([pre, -1, len(path), found[0], found[1], found[2]])
             else:
                 slot = None
-            stack.append((path, value, slot, True))
+            stack.append(((), None, slot, True))  # without its path, or a deep text holds the square of its depth
             inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
             stack.extend(((*path, k), opened(v), None, None) for k, v in reversed(list(inner)))
         else:

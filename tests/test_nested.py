@@ -1,6 +1,8 @@
 import json
 
-from kgloom.operators.nested import block_kinds, contained, entry_kinds, entry_parents, labelled, nodes_of, read_json
+import pytest
+
+from kgloom.operators.nested import block_kinds, contained, deep_json, entry_kinds, entry_parents, labelled, nodes_of, read_json
 
 
 def test_interval_labels_nest():
@@ -39,3 +41,24 @@ def test_flat_tables(spark):
 
 def test_read_json_gives_up_on_text():
     assert read_json('"plain"') is None and read_json("nonsense") is None and read_json('"{\\"a\\": 1}"') == {"a": 1}
+
+
+def test_texts_nested_deeper_than_the_stack_are_read():
+    deep = 200_000
+    value = read_json('{"a": {"parent": null, "x": ' + "[" * deep + "]" * deep + '}, "b": {"parent": "a"}}')
+    assert [(k, p) for _, k, p, _ in entry_parents(value)] == [("a", ""), ("b", "a")]
+    value = read_json('{"k":' * deep + "1" + "}" * deep)
+    for _ in range(deep):
+        value = value["k"]
+    assert value == 1 and read_json("[" * deep + "]" * (deep - 1)) is None
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, {"b": "x\\u00e9\\"]"}, [], {}], "a ": null, "c":true}', " [ ] ", '"x"', "3", '{"a":1,"a":2}', "[1,]", '{"a":1,}', "{1:2}", '{"a" 1}', "[1 2]", "", "[", '{"a":', "[]]", "[1}", "nul"])
+def test_deep_json_reads_what_json_reads(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            deep_json(text)
+    else:
+        assert deep_json(text) == want

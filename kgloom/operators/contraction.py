@@ -7,7 +7,8 @@ becomes a leaf is a ring; compression shortens it to a node that is its own pare
 id on the way. A live core of at most ``core_rows`` rows is solved in one task, after which the recorded rounds are
 undone in reverse order, each by one join.
 
-No chain, subtree or ring is ever collected into one task beyond ``core_rows``.
+No chain, subtree or ring is ever collected into one task beyond ``core_rows``. Joins are merge joins, so that no side
+that grows with the input is ever broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.ranking import running_sum
 from kgloom.session import cut
 
 #: Live rows below which the rest is solved in one task.
@@ -22,7 +24,7 @@ CORE_ROWS = 20_000
 
 
 def contract_forest(
-    df: DataFrame, node: str = "node", parent: str = "parent", mark: str | None = None, with_path: bool = False, core_rows: int = CORE_ROWS
+    df: DataFrame, node: str = "node", parent: str = "parent", mark: str | None = None, with_path: bool = False, core_rows: int = CORE_ROWS, weight: str | None = None
 ) -> DataFrame:
     """Root, depth and what lies beneath, for every node of a table of parent links.
 
@@ -30,14 +32,16 @@ def contract_forest(
     a ring or beneath one has depth -1, as root the smallest node of that ring, and no path; on the ring itself below
     and marked are null. Returns node, root, depth, below (number of descendants), marked (descendants for which the boolean
     ``mark`` holds; 0 without it), and with ``with_path`` path, the nodes from the root to the node itself.
-    Other columns of ``df`` are ignored; an empty table gives an empty table.
+    With ``weight``, a column of numbers, depth is the sum of the weights on the way up instead of their count; a root's
+    own does not count. Other columns of ``df`` are ignored; an empty table gives an empty table.
     """
-    weight = F.coalesce(F.col(mark).cast("boolean"), F.lit(False)).cast("long") if mark else F.lit(0).cast("long")
-    given = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"), weight.alias("own"))
+    own = F.coalesce(F.col(mark).cast("boolean"), F.lit(False)).cast("long") if mark else F.lit(0).cast("long")
+    far = F.coalesce(F.col(weight), F.lit(0)).cast("long") if weight else F.lit(1).cast("long")
+    given = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"), own.alias("own"), far.alias("w"))
     known = given.select(F.col("node").alias("known"))
     live = cut(
-        given.join(known, F.col("parent") == F.col("known"), "left").select(
-            "node", F.col("known").alias("parent"), F.lit(None).cast(given.schema["node"].dataType).alias("ring"), F.lit(1).cast("long").alias("w"),
+        given.join(known.hint("merge"), F.col("parent") == F.col("known"), "left").select(
+            "node", F.col("known").alias("parent"), F.lit(None).cast(given.schema["node"].dataType).alias("ring"), "w",
             F.col("node").alias("lo"), "own", *[F.lit(0).cast("long").alias(c) for c in ("s", "f", "cs", "cf")],
             *([F.expr("slice(array(node), 1, 0)").alias("via")] if with_path else []),
         ).transform(_rings)
@@ -52,6 +56,25 @@ def contract_forest(
     return done
 
 
+def interval_labels(df: DataFrame, node: str = "node", parent: str = "parent", core_rows: int = CORE_ROWS) -> DataFrame:
+    """node, root, depth, pre and last: the place of each node in a walk of its tree, children by id, and that of the last node beneath it.
+
+    A node lies beneath another exactly if both have one root and its ``pre`` is above the other's and at most its
+    ``last``, so all descendants take two numbers a node, however deep the trees are. On rings and beneath them, where
+    depth is -1, both are null. ``node`` must be unique and not null; an empty table gives an empty table.
+
+    A node's ``pre`` is its parent's plus one plus the nodes beneath and including its smaller siblings: sums over
+    siblings by range, then over the way up by the contraction that also gives depths.
+    """
+    done = cut(contract_forest(df, node, parent, core_rows=core_rows))
+    given = df.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+    whole = cut(done.join(given.hint("merge"), "node"))
+    beside = running_sum(whole.where("depth > 0").select("node", "parent", "below"), ["parent"], ["node"], F.col("below") + 1, "before")
+    weighted = whole.select("node", "parent").join(beside.select("node", (F.col("before") + 1).alias("step")).hint("merge"), "node", "left")
+    placed = contract_forest(cut(weighted), "node", "parent", core_rows=core_rows, weight="step").select("node", F.when(F.col("depth") >= 0, F.col("depth")).alias("pre"))
+    return whole.join(placed.hint("merge"), "node").select("node", "root", "depth", "pre", (F.col("pre") + F.col("below")).alias("last"))
+
+
 def _rings(df: DataFrame) -> DataFrame:
     """A node that is its own parent ends a ring and stands as its root from then on."""
     own = F.col("parent") == F.col("node")
@@ -66,7 +89,7 @@ def _rank(column: str, step: int) -> Column:
 def _round(live: DataFrame, step: int, with_path: bool) -> tuple[DataFrame, DataFrame]:
     extra = ["via"] if with_path else []
     counts = live.where("parent is not null").groupBy(F.col("parent").alias("p")).agg(F.count(F.lit(1)).alias("k"))
-    leaf = live.join(counts, F.col("node") == F.col("p"), "left").withColumn("leaf", F.col("k").isNull()).drop("p", "k")
+    leaf = live.join(counts.hint("merge"), F.col("node") == F.col("p"), "left").withColumn("leaf", F.col("k").isNull()).drop("p", "k")
     gained = (
         leaf.where("parent is not null").groupBy(F.col("parent").alias("p"))
         .agg(
@@ -77,7 +100,7 @@ def _round(live: DataFrame, step: int, with_path: bool) -> tuple[DataFrame, Data
     lone = (F.col("rest") == 1) & F.col("parent").isNotNull()
     low = (_rank("node", step) < _rank("parent", step)) & (_rank("node", step) < _rank("child.node", step))
     marked = cut(
-        leaf.join(gained, F.col("node") == F.col("p"), "left").drop("p")
+        leaf.join(gained.hint("merge"), F.col("node") == F.col("p"), "left").drop("p")
         .withColumns({"s": F.col("s") + F.coalesce("ds", F.lit(0)), "f": F.col("f") + F.coalesce("df", F.lit(0))})
         .withColumn("state", F.expr("case when leaf and parent is null then 'root' when leaf then 'raked' end"))
         .withColumn("state", F.when(F.col("state").isNull() & lone & low, F.lit("spliced")).otherwise(F.coalesce("state", F.lit("live"))))
@@ -85,7 +108,7 @@ def _round(live: DataFrame, step: int, with_path: bool) -> tuple[DataFrame, Data
     )
     spliced = marked.where("state = 'spliced'").select(*[F.col(c).alias(f"v_{c}") for c in ("node", "parent", "w", "lo", "own", "s", "f", "cs", "cf", *extra)])
     met = F.col("v_node").isNotNull()
-    moved = marked.where("state = 'live'").join(spliced, F.col("parent") == F.col("v_node"), "left").withColumns(
+    moved = marked.where("state = 'live'").join(spliced.hint("merge"), F.col("parent") == F.col("v_node"), "left").withColumns(
         {
             "parent": F.when(met, F.col("v_parent")).otherwise(F.col("parent")), "w": F.col("w") + F.coalesce("v_w", F.lit(0)), "lo": F.least("lo", "v_lo"),
             "cs": F.col("cs") + F.coalesce(F.expr("v_cs + 1 + v_s"), F.lit(0)), "cf": F.col("cf") + F.coalesce(F.expr("v_cf + v_own + v_f"), F.lit(0)),
@@ -101,7 +124,7 @@ def _undo(gone: DataFrame, done: DataFrame, with_path: bool) -> DataFrame:
 
     def hang(df: DataFrame, onto: DataFrame, below: str, marked: str) -> DataFrame:
         above = onto.select(*[F.col(c).alias(f"a_{c}") for c in ("node", "root", "depth", *path)])
-        return df.join(above, F.col("parent") == F.col("a_node")).select(
+        return df.join(above.hint("merge"), F.col("parent") == F.col("a_node")).select(
             "node", F.col("a_root").alias("root"), F.expr("if(a_depth < 0, -1L, a_depth + w)").alias("depth"), F.expr(below).alias("below"), F.expr(marked).alias("marked"),
             *([F.expr("concat(a_path, via, array(node))").alias("path")] if path else []),
         )
@@ -111,7 +134,7 @@ def _undo(gone: DataFrame, done: DataFrame, with_path: bool) -> DataFrame:
         *([F.expr("if(ring is null, array(node), null)").alias("path")] if path else []),
     )
     beneath = done.select(*[F.col(c).alias(f"b_{c}") for c in ("node", "below", "marked")])
-    spliced = gone.where("state = 'spliced'").join(beneath, F.col("child.node") == F.col("b_node"))
+    spliced = gone.where("state = 'spliced'").join(beneath.hint("merge"), F.col("child.node") == F.col("b_node"))
     done = cut(done.unionByName(roots).unionByName(hang(spliced, done, "s + child.cs + 1 + b_below", "f + child.cf + child.own + b_marked")))
     return done.unionByName(hang(gone.where("state = 'raked'"), done, "s", "f"))
 

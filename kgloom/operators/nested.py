@@ -76,11 +76,9 @@ def _key(text: str, at: int) -> tuple[str, int]:
     return key, json.decoder.WHITESPACE.match(text, at + 1).end()
 
 
-def read_json(text: Any, times: int = 3) -> Any:
-    """The value of a JSON text that may itself have been encoded again; None if it is not valid JSON."""
-    for _ in range(times):
-        if not isinstance(text, str):
-            return text
+def read_json(text: Any) -> Any:
+    """The value of a JSON text that may have been encoded any number of times; None if it is not valid JSON."""
+    while isinstance(text, str):
         text = text.lstrip("\ufeff")
         try:
             try:
@@ -89,7 +87,7 @@ def read_json(text: Any, times: int = 3) -> Any:
                 text = deep_json(text)
         except ValueError:
             return None
-    return None if isinstance(text, str) else text
+    return text
 
 
 def opened(value: Any) -> Any:

@@ -156,7 +156,7 @@ def spread_selection(keywords: DataFrame, item: str, group: str, term: str, scor
 
 def unique_terms(df: DataFrame, item: str, terms: str, most: int = 50) -> DataFrame:
     """``item``, term and pos of the first ``most`` different terms of an array, in any case, in order."""
-    rows = df.select(item, F.posexplode(F.slice(terms, 1, 10 * most)).alias("pos", "term")).where("trim(term) <> ''")
+    rows = df.select(item, F.posexplode(terms).alias("pos", "term")).where("trim(term) <> ''")
     first = rows.groupBy(item, F.lower(F.trim("term")).alias("plain")).agg(F.min(F.struct("pos", "term")).alias("f"))
     order = Window.partitionBy(item).orderBy("f.pos")
     return first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select(item, F.trim("f.term").alias("term"), (F.col("r") - 1).alias("pos"))

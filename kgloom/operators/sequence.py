@@ -1,4 +1,4 @@
-"""Order-dependent operators whose groups may be of any size."""
+"""Order-dependent operators; groups may be of any size unless an operator names its bound."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.operators.ranking import numbered
+from kgloom.operators.ranking import numbered, running_sum
 from kgloom.session import cut
 
 
@@ -35,8 +35,9 @@ def question_answer_pairs(messages: DataFrame, group: Sequence[str], order: Sequ
 
 def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[str], cost: Column, budget: int) -> DataFrame:
     """Rows of each group, in order, up to the first with which the summed cost exceeds ``budget``; rows of no cost are left out."""
-    running = F.sum("_cost").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_cost", cost).where("_cost > 0").withColumn("running", running).where(F.col("running") <= budget).drop("_cost")
+    costly = df.withColumn("_cost", cost).where("_cost > 0")
+    before = running_sum(costly, group, order, F.col("_cost"), "_before")
+    return before.withColumn("running", F.col("_before") + F.col("_cost")).where(F.col("running") <= budget).drop("_cost", "_before")
 
 
 def packed_batches(df: DataFrame, group: Sequence[str], order: str, cost: str, cap: int, base: int = 0, slack: int = 100) -> DataFrame:

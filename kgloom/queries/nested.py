@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgloom.operators.contraction import contract_forest
+from kgloom.operators.contraction import contract_forest, interval_labels
 from kgloom.operators.current import current_rows
 from kgloom.operators.nested import block_kinds, contained, entry_kinds, nodes_of
 from kgloom.session import cut
@@ -56,6 +56,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(F.col("node").alias("page_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"))
 
 
+def p6_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its interval: the pages beneath it are those of its root with a pre in (pre, last]."""
+    done = interval_labels(pages(spark, folder), "page_id", "parent")
+    return done.where("depth >= 0").select(F.col("node").alias("page_id"), F.col("root").alias("root_id"), "pre", "last")
+
+
 def p6_paths(spark: SparkSession, folder: str) -> DataFrame:
     done = contract_forest(pages(spark, folder), "page_id", "parent", with_path=True)
     return done.select(F.col("node").alias("page_id"), F.array_join("path", "/").alias("path"), F.when(F.col("depth") >= 0, F.col("below")).alias("pages_below"))
@@ -89,7 +95,7 @@ def p6_hung_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return _descendants(_hung(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found, "p2_micro_nodes": p2_micro_nodes, "p2_messages": p2_messages, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants, "p6_hung_paths": p6_hung_paths, "p6_hung_descendants": p6_hung_descendants}
+QUERIES = {"p2_found": p2_found, "p2_micro_nodes": p2_micro_nodes, "p2_messages": p2_messages, "p6_found": p6_found, "p6_labels": p6_labels, "p6_paths": p6_paths, "p6_descendants": p6_descendants, "p6_hung_paths": p6_hung_paths, "p6_hung_descendants": p6_hung_descendants}
 
 _PAGES = r"""
 pages AS (
@@ -135,6 +141,9 @@ climb AS (
 SELECT page_id, root_id, depth FROM tree
 UNION ALL
 SELECT page_id, min(above), -1 FROM climb WHERE above IN (SELECT page_id FROM climb WHERE page_id = above) GROUP BY page_id""",
+    "p6_labels": f"""WITH RECURSIVE {_PAGES}
+SELECT page_id, root_id, row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 AS pre,
+  row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 + (SELECT count(*) FROM tree u WHERE starts_with(u.path, tree.path || '/')) AS last FROM tree""",
     "p6_paths": f"""WITH RECURSIVE {_PAGES}
 SELECT t.page_id, t.path, (SELECT count(*) FROM tree u WHERE starts_with(u.path, t.path || '/')) AS pages_below FROM tree t
 UNION ALL

@@ -28,9 +28,14 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``, or where that is unset a temporary one (tests)."""
+    """The folder every executor can read: ``spark.checkpoint.dir``, or where that is unset and Spark runs in one process a temporary one.
+
+    A cluster must name the folder; without it this raises, since a folder of one machine would lose what others write.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kgloom-")
         atexit.register(shutil.rmtree, folder[len("file://"):], True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -41,13 +46,25 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again, which ends its lineage.
 
     The copy outlives any executor, keeps column pruning for what reads it, and tells its row count from file footers.
+    It lies in a folder of this application, which :func:`clear_cuts` deletes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_cuts_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _cuts_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/kgloom-{spark.sparkContext.applicationId}"
+
+
+def clear_cuts(spark: SparkSession) -> bool:
+    """Deletes all tables this application has cut; to be called once results that were made from them are written or collected."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_cuts_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from kgloom.operators.contraction import contract_forest
+from kgloom.operators.contraction import contract_forest, interval_labels
 
 
 def brute(links, marks=()):
@@ -69,3 +69,31 @@ def test_pages_beneath_a_ring_have_paths_and_descendants(spark, tmp_path):
     assert paths == {("a", "a", 3), ("b", "a/b", 1), ("c", "a/b/c", 0), ("d", "a/d", 0), ("e", "e", 0)}
     below = {tuple(r) for n in ("p6_descendants", "p6_hung_descendants") for r in QUERIES[n](spark, str(tmp_path)).select("page_id", "descendant_id", "distance").collect()}
     assert below == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1), ("top", "low", 1)}
+
+
+@pytest.mark.parametrize("core", [12, 1000])
+def test_interval_labels_hold_exactly_the_descendants(spark, core):
+    rng = random.Random(9)
+    links = [(f"t{i:02}", None if i < 2 else f"t{rng.randrange(max(0, i - 6), i):02}") for i in range(40)] + [(f"f{i}", "t05") for i in range(9)]
+    links += [("r1", "r2"), ("r2", "r1"), ("h1", "r2"), ("gone", "nowhere")]
+    df = spark.createDataFrame([(n, p, 1) for n, p in links], "id string, parent_id string, pre int")
+    rows = {r.node: r for r in interval_labels(df, "id", "parent_id", core).collect()}
+    assert set(rows) == {n for n, _ in links} and all(rows[n].pre is None and rows[n].last is None for n in ("r1", "r2", "h1"))
+    free = [r for r in rows.values() if r.depth >= 0]
+    for a in free:
+        inside = {b.node for b in free if b.root == a.root and a.pre < b.pre <= a.last}
+        assert inside == {n for n, _ in links if n != a.node and a.node in climb(dict(links) | {n: None for n, p in links if p not in dict(links)}, n)}
+    assert interval_labels(df.limit(0), "id", "parent_id").collect() == []
+
+
+def test_pages_with_a_small_core_match_those_of_one_task(spark):
+    import os
+
+    from kgloom.queries.nested import pages
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    rows = pages(spark, folder)
+    few, one = ({tuple(r) for r in contract_forest(rows, "page_id", "parent", core_rows=c).collect()} for c in (60, 20_000))
+    assert few == one and len(one) > 50

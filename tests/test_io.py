@@ -116,3 +116,17 @@ def test_macro_plan(spark):
     assert sorted(r.id for r in nodes) == list(range(12)) and all(r.cluster.startswith("cluster_") and r.num_sections == 2 for r in nodes)
     assert sum(r["size"] for r in tables["clusters"].collect()) == 12 and {"is_intra", "is_intra_initial"} <= set(tables["edges"].columns)
     assert tables["subclusters"].columns and tables["candidates"].columns
+
+
+def test_cuts_are_deleted_and_a_cluster_must_name_its_folder(spark):
+    import types
+
+    import pytest
+
+    from kgloom.session import clear_cuts, cut, shared_dir
+
+    df = cut(spark.range(3))
+    assert df.count() == 3 and clear_cuts(spark) and not clear_cuts(spark)
+    away = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(away)

@@ -62,3 +62,10 @@ def test_deep_json_reads_what_json_reads(text):
             deep_json(text)
     else:
         assert deep_json(text) == want
+
+
+def test_json_encoded_many_times():
+    text: object = {"a": [1]}
+    for _ in range(7):
+        text = json.dumps(text)
+    assert read_json(text) == {"a": [1]} and read_json('"plain"') is None and read_json("") is None

@@ -45,6 +45,8 @@ def test_groups(spark):
     picked = P.spread_selection(spark.createDataFrame(rows, "i string, g int, t string, s double"), "i", "g", "t", "s", 3).orderBy("rank").collect()
     assert [r.t for r in picked] == ["a", "b", "d"]
     assert [r.term for r in P.unique_terms(spark.createDataFrame([(1, ["A", "a ", "b", None, " "])], "i int, t array<string>"), "i", "t").orderBy("pos").collect()] == ["A", "b"]
+    late = spark.createDataFrame([(1, ["a"] * 700 + ["b"])], "i int, t array<string>")  # repeats take no place of what comes after them
+    assert [r.term for r in P.unique_terms(late, "i", "t").orderBy("pos").collect()] == ["a", "b"]
     assert [r.title for r in P.most_significant(spark.createDataFrame([("low", "x"), ("high", "y"), (None, "z"), ("medium", "w")], "level string, title string"), "level").collect()] == ["y", "w", "x"]
     got = P.labelled_groups(spark.createDataFrame([("g", ["a"]), ("h", ["b"]), ("i", None)], "k string, top_keywords array<string>"), spark.createDataFrame([("g", "Z")], "k string, label string"), "k")
     assert {r.k: r.top_keywords for r in got.collect()} == {"g": ["Z", "a"], "h": ["b"], "i": None}

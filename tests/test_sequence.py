@@ -37,3 +37,15 @@ def test_chunkers(spark):
     got = recursive_chunks(text, 50, 10)
     assert max(map(len, got)) <= 50 and got[0] == "para one is here." and "y" * 50 in got
     assert [(r.id, r.pos) for r in chunked(spark.createDataFrame([(1, "a. b. c."), (2, None)], "id int, t string"), "id", "t", most=5).collect()] == [(1, 0), (1, 1)]
+
+
+def test_running_sums_over_tasks(spark):
+    from kgloom.operators.ranking import running_sum
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 5 + ["a", None]), i, rng.choice([1, 2, 5, None])) for i in range(300)]
+    got = {(r.g, r.i): r.s for r in running_sum(spark.createDataFrame(rows, "g string, i int, v int").repartition(5), ["g"], ["i"], F.col("v"), "s").collect()}
+    sums: dict = {}
+    for g, i, v in rows:
+        assert got[g, i] == sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + (v or 0)

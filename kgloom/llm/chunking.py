@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 1500, 150
 #: What is trimmed at both ends of an item.
 BLANK = " \t\r\n"
-#: Words, sentence marks and white space; long runs of the last two may be cut anywhere.
-_TOKEN = re.compile(r"[^\s.!?。！？]+|[.!?。！？]{1,50}|\s{1,50}")
+#: Words, and runs of sentence marks or of white space, which may be cut anywhere.
+_TOKEN = re.compile(r"[^\s.!?。！？]+|[.!?。！？]+|\s+")
 PIECE = "struct<piece: int, start: int, end: int, cut: string>"
 
 
@@ -36,9 +36,12 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     if size <= limit:
         return [(0, size, "end")] if size else []
     tokens = _TOKEN.findall(text)
-    ends = list(accumulate(map(len, tokens)))
+    token_ends = list(accumulate(map(len, tokens)))
+    ends: list[int] = []  # wherever no word is cut
+    for token, end in zip(tokens, token_ends):
+        ends.extend(range(end - len(token) + 1, end + 1) if token[0] in ".!?。！？" or token.isspace() else (end,))
     by_kind: dict[str, list[int]] = {"paragraph": [], "sentence": [], "word": []}
-    for token, after, end in zip(tokens, tokens[1:], ends):
+    for token, after, end in zip(tokens, tokens[1:], token_ends):
         if token.isspace():
             continue
         if after.isspace():

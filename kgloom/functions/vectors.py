@@ -107,33 +107,47 @@ def close_rows(values, threshold: float, k: int, strip: int = 512, tile: int = 2
 
     exact = values.astype(np.float64)
     exact /= np.sqrt(np.einsum("ij,ij->i", exact, exact))[:, None]
-    for start in range(0, len(values), strip):
-        rows = exact[start : start + strip]
-        nearest, cosine = np.full((len(rows), k), -1), np.full((len(rows), k), -2.0)
-        for low in range(0, len(values), tile):
-            products = rows @ exact[low : low + tile].T
-            own = np.arange(max(start, low), min(start + len(rows), low + products.shape[1]))
-            products[own - start, own - low] = -2
+    every = np.arange(len(values))
+    for i, j, cosine in best_columns(exact, every, every, k, threshold, strip, tile):
+        yield np.minimum(i, j), np.maximum(i, j), cosine
+
+
+def best_columns(exact, rows, columns, k: int, threshold: float, strip: int = 512, tile: int = 2048):
+    """(row, column, cosine) of the ``k`` nearest ``columns`` of each of ``rows``, both ascending places in a matrix of unit float64 rows.
+
+    A row is no neighbour of its own. Of equal cosines, rounded to 12 digits, those of smaller columns come first.
+    """
+    import numpy as np
+
+    for start in range(0, len(rows), strip):
+        own = rows[start : start + strip]
+        some = exact[own]
+        nearest, cosine = np.full((len(own), k), -1), np.full((len(own), k), -2.0)
+        for low in range(0, len(columns), tile):
+            part = columns[low : low + tile]
+            products = some @ exact[part].T
+            at = np.searchsorted(part, own)
+            itself = np.flatnonzero((at < len(part)) & (part[np.minimum(at, len(part) - 1)] == own))
+            products[itself, at[itself]] = -2
             # only what is greater than the k-th so far can still count: what is equal comes later
             least = np.maximum(cosine[:, -1] + 4e-13, threshold - 1e-12)
             i, j = np.divmod(np.flatnonzero(products > least[:, None]), products.shape[1])
-            if len(i) > 4 * k * len(rows):
+            if len(i) > 4 * k * len(own):
                 products = np.round(products, 12)
-                at = max(0, products.shape[1] - k)
-                kth = np.maximum(np.partition(products, at, axis=1)[:, at], least)[:, None]
+                place = max(0, products.shape[1] - k)
+                kth = np.maximum(np.partition(products, place, axis=1)[:, place], least)[:, None]
                 above, equal = products > kth, products == kth
                 above |= equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True))
                 i, j = np.divmod(np.flatnonzero(above), products.shape[1])
             if not len(i):
                 continue
             a, fresh = np.unique(i, return_inverse=True)
-            c = np.round(np.einsum("ij,ij->i", rows[i], exact[j + low]), 12)
+            c = np.round(np.einsum("ij,ij->i", some[i], exact[part[j]]), 12)
             row = np.concatenate([np.repeat(np.arange(len(a)), k), fresh])
-            near, close = np.concatenate([nearest[a].ravel(), j + low]), np.concatenate([cosine[a].ravel(), c])
+            near, close = np.concatenate([nearest[a].ravel(), part[j]]), np.concatenate([cosine[a].ravel(), c])
             order = np.lexsort((near, -close, row))
             first = np.searchsorted(row[order], np.arange(len(a)))
             best = order[first[:, None] + np.arange(k)]
             nearest[a], cosine[a] = near[best], close[best]
         i, at = np.nonzero((nearest >= 0) & (cosine >= threshold))
-        j = nearest[i, at]
-        yield np.minimum(i + start, j), np.maximum(i + start, j), cosine[i, at]
+        yield own[i], nearest[i, at], cosine[i, at]

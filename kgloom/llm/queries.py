@@ -151,17 +151,14 @@ SELECT DISTINCT doc_id, item_id FROM seen JOIN grams USING (g)"""
 # 4: most similar vectors
 
 
-def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return nearest(usable_vectors(table(spark, folder, "node_vectors")))
-
-
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _neighbours(spark, folder).select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct()
+    near = nearest(usable_vectors(table(spark, folder, "node_vectors")))
+    return near.select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct()
 
 
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """For every vector its ten most similar ones with a cosine of at least 0.85, ranked."""
-    return _neighbours(spark, folder).withColumn("cosine", F.round("cosine", 6))
+    """For every vector its ten most similar ones, however similar, ranked; the larger budget is for those that have no close one."""
+    return nearest(usable_vectors(table(spark, folder, "node_vectors")), beyond=True, budget=4096).withColumn("cosine", F.round("cosine", 6))
 
 
 QUERIES |= {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
@@ -264,5 +261,5 @@ SELECT o AS origin, c AS conv_key, row_number() OVER (PARTITION BY o, c ORDER BY
   CASE k WHEN 'u' THEN 'user' WHEN 'a' THEN 'assistant' ELSE r END AS role, content FROM kept JOIN said USING (o, c, id)"""
 )
 SQL["p4_neighbours"] = f"""WITH {_UNIT},
-near AS (SELECT a.id AS id, b.id AS near_id, round(list_dot_product(a.u, b.u), 12) AS c FROM usable a JOIN usable b ON a.id <> b.id WHERE list_dot_product(a.u, b.u) >= 0.85)
+near AS (SELECT a.id AS id, b.id AS near_id, round(list_dot_product(a.u, b.u), 12) AS c FROM usable a JOIN usable b ON a.id <> b.id)
 SELECT id, near_id, round(c, 6) AS cosine, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, near_id) AS r FROM near) WHERE r <= 10"""

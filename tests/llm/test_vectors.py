@@ -164,3 +164,28 @@ def test_typical_members_are_nearest_to_the_mean(spark):
     members = spark.createDataFrame([("a", "v0000"), ("a", "v0001"), ("a", "v0002"), ("b", "v0003"), ("b", "v0004")], "group_id string, id string")
     got = {r.id: r.density for r in typical(members, df, 2).collect()}
     assert len(got) == 5 and max("v0000 v0001 v0002".split(), key=got.get) == "v0002" and got["v0003"] == got["v0004"]
+
+
+def test_ascent_in_step_finds_nearly_all_without_comparing_all():
+    from kgloom.llm import neighbours as N
+
+    rng = np.random.default_rng(11)
+    middle = rng.standard_normal((150, 64))
+    values = np.concatenate([np.repeat(middle, 20, axis=0) + 0.35 * rng.standard_normal((3000, 64)), rng.standard_normal((3000, 64))]).astype("<f4")
+    cos = cosines(values)
+    np.fill_diagonal(cos, -2)
+    want = {(i, int(j)) for i in range(len(values)) for j in np.argsort(-cos[i], kind="stable")[:5] if cos[i, j] >= 0.85}
+    i, j, c = N.ascended(values, np.arange(len(values)), 5, 0.85)
+    assert len(want) > 5000 and len(set(zip(i.tolist(), j.tolist())) & want) >= 0.98 * len(want) and np.allclose(cos[i, j], c)
+    some = np.arange(0, len(values), 7)
+    assert set(N.ascended(values, some, 5, 0.85)[0].tolist()) <= set(some.tolist())
+    i, j, _ = N.ascended(values, np.arange(len(values)), 5, -1.0, budget=20_000)  # the whole stem
+    assert set(zip(i.tolist(), j.tolist())) == {(a, int(b)) for a in range(len(values)) for b in np.argsort(-cos[a], kind="stable")[:5]}
+
+
+def test_every_vector_has_its_nearest_beyond_the_threshold(spark):
+    values = np.random.default_rng(12).standard_normal((300, 16)).astype("<f4")
+    cos = cosines(values)
+    np.fill_diagonal(cos, -2)
+    got = sorted((int(r.id[1:]), r.rank, int(r.near_id[1:])) for r in nearest(frame(spark, values), 4, dim=16, beyond=True).collect())
+    assert got == [(i, n + 1, int(j)) for i in range(300) for n, j in enumerate(np.lexsort((np.arange(300), -cos[i]))[:4])]

@@ -1,15 +1,18 @@
 """Mixing sources to target weights.
 
-The mix is a row of slots of equal size in tokens. Slot i takes the point i times the golden ratio, modulo 1, and goes
-to the source in whose stretch of the cumulative weights it falls; such points are spread so evenly that every source
-has its share in every stretch of the mix, and not only on the whole. Each source's records are shuffled and laid end to
-end; its r-th slot takes the r-th block of that row, from the start again once the row is used up, but not more often
-than the source may be repeated. Records stay whole and belong to the block in which their middle lies.
+The mix is a row of slots of about equal size in tokens. Slot i takes the point i times the golden ratio, modulo 1, and
+goes to the source in whose stretch of the cumulative weights it falls; such points are spread so evenly that every
+source has its share in every stretch of the mix, and not only on the whole. Each source's records are shuffled and laid
+end to end, from the start again once they are used up, but not more often than the source may be repeated. This row is
+cut at the source's target in tokens and divided into as many equal blocks as the source has slots; its r-th slot takes
+the r-th block. Records stay whole and belong to the block in which their middle lies, so a source misses its target by
+less than a record, however small it is.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,14 +38,19 @@ def _encoding(path: str):
     import base64
 
     import tiktoken
+    from pyspark import SparkFiles
 
-    with open(path, "rb") as file:
+    with open(SparkFiles.get(os.path.basename(path)), "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``df`` without ``text``, with n_tokens: the tokens of the whole text by the byte-level tokenizer at ``tokenizer``; 0 for null."""
+    """``df`` without ``text``, with n_tokens: the tokens of the whole text by the byte-level tokenizer at ``tokenizer``; 0 for null.
+
+    ``tokenizer`` is a file of the driver, or an address that Spark can read; executors get it from the driver.
+    """
+    df.sparkSession.sparkContext.addFile(tokenizer)
     keep = [f for f in df.schema if f.name not in (text, "n_tokens")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_tokens bigint"])
 
@@ -61,8 +69,8 @@ def plain_source(column: str):
     return F.lower(trimmed(column))
 
 
-def laid_out(records: DataFrame, block: int, seed: int) -> DataFrame:
-    """source, doc_id, n_tokens and block of each record, the records of a source being shuffled and laid end to end.
+def laid_out(records: DataFrame, seed: int) -> DataFrame:
+    """source, doc_id, n_tokens and middle (in tokens) of each record, the records of a source being shuffled and laid end to end.
 
     Running sums are taken within stretches of the shuffled order, and over the sums of stretches before, so that a
     source that holds most rows is still spread over many tasks.
@@ -73,7 +81,7 @@ def laid_out(records: DataFrame, block: int, seed: int) -> DataFrame:
     offsets = sums.withColumn("offset", F.coalesce(F.sum("s").over(before), F.lit(0))).select("source", "bucket", "offset")
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = shuffled.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(offsets, ["source", "bucket"])
-    return placed.select("source", "doc_id", "n_tokens", F.floor((F.col("offset") + F.col("inner") + F.col("n_tokens") / 2) / block).cast("bigint").alias("block"))
+    return placed.select("source", "doc_id", "n_tokens", (F.col("offset") + F.col("inner") + F.col("n_tokens") / 2).alias("middle"))
 
 
 def slots_of(weights: list[float], start: int, count: int):
@@ -121,8 +129,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, bloc
     slots = math.ceil(size / block)
     order = [s for s, *_ in there]
     weights = [w for _, w, _ in there]
-    blocks = [max(1, math.ceil(available[s] / block)) for s in order]
-    repeats = {r.source: r.max_repeats for r in held}
+    wish = [min(most, w * size) for _, w, most in there]
 
     def chunks(ranked: bool):
         def run(batches: Iterator) -> Iterator:
@@ -148,13 +155,16 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, bloc
     every = spark.range(math.ceil(slots / CHUNK) if order else 0)
     before = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = every.mapInArrow(chunks(False), "chunk bigint, no int, n bigint").withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("chunk", "no", "offset")
-    dim = spark.createDataFrame([(i, s, blocks[i], repeats[s]) for i, s in enumerate(order)], "no int, source string, blocks bigint, most int")
-    ranks = every.mapInArrow(chunks(True), "chunk bigint, no int, slot bigint, inner bigint").join(offsets, ["chunk", "no"]).join(F.broadcast(dim), "no")
-    ranks = ranks.withColumn("rank", F.col("offset") + F.col("inner")).where("rank < blocks * most")
-    taken = ranks.select("slot", "source", F.expr("rank div blocks").cast("int").alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block"))
-    row = laid_out(records.join(F.broadcast(dim.select("source", "blocks")), "source"), block, seed).join(F.broadcast(dim.select("source", "blocks")), "source")
-    row = row.select("source", "doc_id", "n_tokens", F.least("block", F.col("blocks") - 1).alias("block"))
-    mixed = cut(taken.join(row, ["source", "block"]).select("slot", "source", "epoch", "doc_id", "n_tokens"))
+    dim = spark.createDataFrame([(i, s, float(available[s]), float(wish[i])) for i, s in enumerate(order)], "no int, source string, available double, wish double")
+    counted = every.mapInArrow(chunks(False), "chunk bigint, no int, n bigint").groupBy("no").agg(F.sum("n").alias("count"))
+    blocks = F.broadcast(dim.join(counted, "no").where("count > 0").withColumn("size", F.col("wish") / F.col("count")))  # one row for each source of the targets
+    ranks = every.mapInArrow(chunks(True), "chunk bigint, no int, slot bigint, inner bigint").join(offsets, ["chunk", "no"]).join(blocks.select("no", "source"), "no")
+    taken = ranks.select("slot", "source", (F.col("offset") + F.col("inner")).alias("rank"))
+    row = laid_out(records.join(blocks.select("source"), "source"), seed).join(blocks, "source")
+    row = row.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("wish") / F.col("available")).cast("int") - 1)))
+    row = row.withColumn("at", F.col("epoch") * F.col("available") + F.col("middle")).where("at < wish")
+    row = row.select("source", "doc_id", "n_tokens", "epoch", F.least(F.floor(F.col("at") / F.col("size")), F.col("count") - 1).cast("bigint").alias("rank"))
+    mixed = cut(taken.join(row, ["source", "rank"]).select("slot", "source", "epoch", "doc_id", "n_tokens"))
     reached = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"))
     whole = mixed.agg(F.sum("n_tokens").alias("whole"))
     report = wanted.join(sizes.where("source is not null"), "source", "full").join(reached, "source", "left").crossJoin(F.broadcast(whole))  # one row

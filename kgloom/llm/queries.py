@@ -113,20 +113,25 @@ def _node_terms(spark: SparkSession, folder: str) -> DataFrame:
     return current_rows(rows, ["id"], ["updated_at"], ["a", "b"]).select("id", F.array("a", "b").alias("terms"))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+def _terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term, as the run of words that it is, with its number of occurrences and of nodes."""
     nodes = cut(_node_terms(spark, folder))
-    return marked(ngram_counts(nodes, "terms"), nodes.count()).where("mark is not null").select("term", "mark")
+    whole = ngram_counts(nodes, "terms", 3, words=True).where("wholes > 0").select("term", F.col("wholes").alias("occurrences"), F.col("whole_records").alias("records"))
+    return marked(whole, nodes.count())
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _terms(spark, folder).where("mark is not null").select("term", "mark")
 
 
 def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Every term with its number of occurrences and of nodes."""
-    nodes = cut(_node_terms(spark, folder))
-    return marked(ngram_counts(nodes, "terms"), nodes.count()).select("term", "occurrences", F.col("records").alias("nodes"), "mark")
+    return _terms(spark, folder).select("term", "occurrences", F.col("records").alias("nodes"), "mark")
 
 
 def p5_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     """The same for up to three consecutive words within a term."""
-    return ngram_counts(_node_terms(spark, folder), "terms", 3, words=True)
+    return ngram_counts(_node_terms(spark, folder), "terms", 3, words=True).where("n <= 3").select("term", "n", "occurrences", "records")
 
 
 # 8: evaluation texts in training text
@@ -143,6 +148,19 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES |= {"p5_found": p5_found, "p5_terms": p5_terms, "p5_ngrams": p5_ngrams, "p8_found": p8_found, "p8_coverage": p8_coverage}
 
+# NFKC of what these tables hold: full-width forms, hard spaces and ligatures
+_NODE_TERMS = r"""cur AS (SELECT id, keywords, top_keywords FROM graph_nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
+raw AS (SELECT id, unnest(list_concat(coalesce([k.term FOR k IN keywords], []), coalesce(top_keywords, []))) AS t FROM cur),
+plain AS (SELECT id, trim(regexp_replace(nfc_normalize(lower(replace(replace(array_to_string([CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) WHEN unicode(c) IN (160, 12288) THEN ' ' ELSE c END FOR c IN string_split(t, '')], ''), 'ﬁ', 'fi'), 'ﬂ', 'fl'))), '\s+', ' ', 'g')) AS term FROM raw WHERE t IS NOT NULL),
+terms AS (SELECT id, term FROM plain WHERE term <> ''),
+marks AS (SELECT term, count(*) AS occurrences, count(DISTINCT id) AS nodes, CASE WHEN count(DISTINCT id) > 0.1 * (SELECT count(*) FROM cur) THEN 'common' WHEN count(DISTINCT id) = 1 THEN 'rare' END AS mark FROM terms GROUP BY term)"""
+SQL["p5_found"] = f"WITH {_NODE_TERMS} SELECT term, mark FROM marks WHERE mark IS NOT NULL"
+SQL["p5_terms"] = f"WITH {_NODE_TERMS} SELECT * FROM marks"
+SQL["p5_ngrams"] = f"""WITH {_NODE_TERMS},
+words AS (SELECT id, string_split(term, ' ') AS w FROM terms),
+grams AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS term, n FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS t(n)))
+SELECT term, n, count(*) AS occurrences, count(DISTINCT id) AS records FROM grams GROUP BY term, n"""
+
 _DOC_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 SQL["p8_found"] = f"""WITH grams AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT item_id, {_DOC_WORDS} AS w FROM eval_items) WHERE len(w) >= 12)),
 seen AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, {_DOC_WORDS} AS w FROM documents) WHERE len(w) >= 12))

@@ -35,6 +35,24 @@ def test_against_brute_force(spark):
     want = sorted({(d, i) for d, t, _ in documents for i, s in items if grams(t) & grams(s)})
     df, held = spark.createDataFrame(documents, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")
     assert sorted({(r.doc_id, r.item_id) for r in leaks(df, held).collect()}) == want
-    assert sorted({(r.doc_id, r.item_id) for r in leaks(df, held, at_once=4).collect()}) == want
+    assert sorted({(r.doc_id, r.item_id) for r in leaks(df, held, filter_bits=6).collect()}) == want  # a filter that lets all through
     assert leaks(df.limit(0), held).count() == 0 and leaks(df, held.limit(0)).count() == 0
     assert all(r.covered >= 0.9 * r.item_words for r in leaks(df, held, 5, 0.9).collect())
+
+
+def test_matches_equal_tiles_of_the_whole_texts(spark):
+    """Runs of one word and reordered passages, against tiles found from the words themselves."""
+    rng = random.Random(5)
+    vocabulary = ["a", "b", "c"]
+    items = [(i, " ".join(rng.choices(vocabulary, k=30) if i % 3 else ["a"] * rng.randrange(10, 30) + rng.choices(vocabulary, k=9))) for i in range(9)]
+    documents = [(d, " ".join(rng.choices(vocabulary, k=20) + ["a"] * rng.randrange(40) + items[d % 9][1].split()[15:] + ["b"] + items[d % 9][1].split()[:15])) for d in range(30)]
+    want = {}
+    for d, text in documents:
+        for i, s in items:
+            doc, item = text.split(), s.split()
+            got = tiles(doc, item, [(x, y) for x in range(len(doc) - 4) for y in range(len(item) - 4) if doc[x : x + 5] == item[y : y + 5]], 5)
+            if got:
+                want[d, i] = (got[0][2], len(item))
+    rows = leaks(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 5).collect()
+    assert {(r.doc_id, r.item_id): (r.longest, r.item_words) for r in rows} == want and len(rows) == len(want)
+    assert all(r.longest <= r.covered <= r.item_words for r in rows)

@@ -1,4 +1,6 @@
-from kgloom.llm.stuffing import language, stuffed
+import pytest
+
+from kgloom.llm.stuffing import RULES, language, stuffed
 
 PROSE = "The question whether the summary improves the index remains open. Nobody noticed that the cache had been removed, and we could not find it again. "
 STUFFED = {
@@ -25,3 +27,48 @@ def test_kinds_of_pages(spark):
 def test_language():
     for lang, text in {"en": "the cat is on it", "de": "der Hund und die Katze", "fr": "le chat et les chiens sont", "es": "el gato y los perros", "ko": "우리는 읽었다", "zh": "我们读了"}.items():
         assert language(text, text.lower().split()) == lang
+
+
+UNSEEN = {
+    "it": "Il direttore della biblioteca ha spiegato che i lavori del nuovo archivio dureranno fino alla prossima primavera. Molti studenti preferiscono leggere nella sala grande, perché lì si trova sempre un posto libero.",
+    "pt": "O diretor da biblioteca explicou que as obras do novo arquivo vão durar até a próxima primavera. Muitos alunos preferem ler na sala grande, porque ali sempre se encontra um lugar livre.",
+    "nl": "De directeur van de bibliotheek legde uit dat de werken aan het nieuwe archief tot het volgende voorjaar zullen duren. Veel studenten lezen liever in de grote zaal, omdat daar altijd nog een plaats vrij is.",
+    "ru": "Директор библиотеки объяснил, что работы в новом архиве продлятся до следующей весны. Многие студенты предпочитают читать в большом зале, потому что там всегда есть свободное место.",
+    "pl": "Dyrektor biblioteki wyjaśnił, że prace w nowym archiwum potrwają do następnej wiosny. Wielu studentów woli czytać w dużej sali, ponieważ tam zawsze znajdzie się wolne miejsce.",
+    "ja": "図書館の館長は、新しい書庫の工事が来年の春まで続くと説明した。多くの学生は大きな部屋で本を読むのが好きだ。そこにはいつも空いている席があるからである。",
+}
+
+
+def test_prose_in_languages_that_are_not_known_is_no_spam(spark):
+    rows = [(i, t) for i, t in enumerate([*UNSEEN.values(), *[t.split(". ")[0] + "." for t in UNSEEN.values()], *[t + " " + t.replace(".", "!") for t in UNSEEN.values()]])]
+    assert {r.doc_id for r in stuffed(spark.createDataFrame(rows, "doc_id long, text string")).where("stuffed").collect()} == set()
+
+
+#: Pages that one rule alone catches.
+ALONE = {
+    "function_words": "Vector store ranking summary pipeline gradient chapter section outline keyword proof dataset. " * 2 + "The summary of the index is on the next page and we have not read it.",
+    "top_word": "note for the note and the note or a note with my note on note " * 4, "top_pair": " ".join(f"the note of {w} is the note that" for w in ("all", "one", "some", "few", "two", "more", "most", "both")) + " the note",
+    "separators": "the list of it, for you, and the, or my, in an, by the, of all, to be, on a, at its, from the, with one, " * 3, "repeated_lines": "\n\n".join(["where to find the best notes for all of your needs today"] * 9),
+    "short": "A few notes. Read it. All of it. To do. By hand. In a day. The end. " * 3, "links": "The notes are here for you. " + "<a href='http://a.example/x'>read the notes that we wrote for you and all of the others</a>\n" * 9,
+    "tags": "We wrote it for you. " + "#note #index #graph " * 9, "attributes": "We wrote it for you. " + "\n".join(f"size: {i}\ncolour: red\nsku: a{i}" for i in range(9)),
+}
+
+
+@pytest.mark.parametrize("rule", RULES)
+def test_each_rule_decides(spark, rule):
+    df = spark.createDataFrame([(1, ALONE[rule]), (2, PROSE * 3)], "doc_id long, text string")
+    found = {r.doc_id: (r.stuffed, r.signs) for r in stuffed(df).collect()}
+    assert found[1][0] and rule in found[1][1] and not found[2][0]
+    assert not any(r.stuffed for r in stuffed(df, rules=[r for r in RULES if r != rule]).collect())
+
+
+def test_a_language_is_learnt_from_its_pages(spark):
+    import random
+
+    rng = random.Random(3)
+    things, deeds, small = ([f"{c}{a}{b}" for a in "aeiou" for b in "klmn"] for c in ("gor", "vit", "z"))
+    say = lambda: " ".join(x for _ in range(4) for x in (rng.choice(small[:6]), rng.choice(things), rng.choice(deeds))) + ". "
+    heap = lambda: " ".join(rng.choices(things, k=60))
+    rows = [(i, "".join(say() for _ in range(9)), "qq") for i in range(120)] + [(i, heap(), "QQ-x") for i in range(120, 130)] + [(130, None, "qq"), (131, "", None)]
+    got = {r.doc_id for r in stuffed(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("stuffed").collect()}
+    assert got == set(range(120, 130))

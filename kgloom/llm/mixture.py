@@ -4,9 +4,10 @@ Vectors are scaled to unit length, standardised and reduced to their leading pri
 maximisation runs on all rows: a task adds up what each component claims of its rows, and only these sums travel. The
 number of components is the one with the least Bayesian information criterion; covariances are regularised.
 
-For groups of vectors that are alike to a given cosine, mixtures serve as the index: every row goes to its component,
-components too large for one task are divided by mixtures of their own, and rows of one component are compared exactly.
-Several mixtures over different reduced features make up for pairs that one of them separates.
+For groups of vectors that are alike to a given cosine, mixtures serve as the index: every row goes to the two components
+most likely to have made it, so that rows on either side of a border still meet; components too large for one task are
+divided by mixtures of their own, all of a level in one pass, and rows of one component are compared exactly. A second
+mixture over other features makes up for pairs that the first one separates. However small the table, it is divided.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.functions.vectors import close_pairs, distinct_vectors, unpacked
+from kgloom.functions.vectors import distinct_vectors, unpacked
 from kgloom.operators.components import connected_components
 from kgloom.session import cut
 
@@ -26,14 +27,14 @@ from kgloom.session import cut
 SAMPLE = 8_000
 #: Numbers of components that are compared; where the last is best, :func:`grown` goes on from there.
 CHOICES = (4, 8, 16, 32)
-#: Leading directions that are kept.
-REDUCED = 12
-#: Rows of a component of the index that are compared with each other, and that one task may hold to divide it further.
-LEAF, HELD = 4096, 16_384
-#: Mixtures over different features in the index.
-VIEWS = 16
-#: Components that one pass divides further; their models are what is broadcast.
-AT_ONCE = 1024
+#: Leading directions that are kept, and those that the index looks at.
+REDUCED, WIDE = 12, 24
+#: Rows that components of the index are meant to have, and that one task may hold to compare them.
+LEAF, HELD = 8192, 32_768
+#: Mixtures over different features in the index, and components each of them takes a row to.
+VIEWS, SPILL = 2, 2
+#: Rows of a component on which the mixture is fitted that divides it further, and most components of one.
+INNER, MOST = 4000, 64
 
 
 def unit(values):
@@ -164,10 +165,11 @@ class Reduction:
         return matrix, self.mean @ matrix
 
 
-def fit(vectors: DataFrame, reduction: Reduction, sample, choices=CHOICES, passes: int = 3, dim: int = 64, seed: int = 5) -> tuple[Mixture, dict[int, float]]:
+def fit(vectors: DataFrame, reduction: Reduction, sample, choices=CHOICES, passes: int = 8, dim: int = 64, seed: int = 5, settled: float = 1e-3) -> tuple[Mixture, dict[int, float]]:
     """The mixture of the least criterion over all rows of ``vectors``, and the criterion of each number of components.
 
-    Mixtures start on ``sample``; then each pass of expectation and maximisation over all rows serves all of them.
+    Mixtures start on ``sample``; then each pass of expectation and maximisation over all rows serves all of them, until
+    no criterion gets better by a share of ``settled``, at most ``passes`` times.
     """
     matrix, offset = reduction.view(0)
     d = matrix.shape[1]
@@ -179,7 +181,9 @@ def fit(vectors: DataFrame, reduction: Reduction, sample, choices=CHOICES, passe
         now = list(mixtures)
         got = summed(vectors, lambda x, now=now: np.concatenate([m.sums(unit(x) @ matrix - offset) for m in now]), sum(sizes), dim)
         parts = np.split(got, np.cumsum(sizes)[:-1])
-        score = {len(m.means): criterion(p[-1], reduction.rows, len(m.means), d) for m, p in zip(mixtures, parts)}
+        last, score = score, {len(m.means): criterion(p[-1], reduction.rows, len(m.means), d) for m, p in zip(mixtures, parts)}
+        if last and all(last[k] - v < settled * abs(v) for k, v in score.items()):
+            break
         if at < passes:
             mixtures = [m.maximised(p) for m, p in zip(mixtures, parts)]
     return min(mixtures, key=lambda m: score[len(m.means)]), score
@@ -223,175 +227,255 @@ def clusters(vectors: DataFrame, choices=CHOICES, dim: int = 64) -> DataFrame:
     return vectors.mapInArrow(assign, "id string, cluster int, confidence double, density double")
 
 
-def _divided(rows: DataFrame, models: dict[tuple, tuple], dim: int) -> DataFrame:
-    """``rows`` (view, leaf, no, vec) with the leaf of those in ``models`` replaced by that of their component."""
-    held = rows.sparkSession.sparkContext.broadcast(models)
+def chosen(z, rows: int, leaf: int, seed: int, steps: int = 12) -> Mixture:
+    """The mixture of the least criterion of those whose components would have about ``leaf`` of ``rows`` rows, or half as many, fitted to ``z``; at least 8 components where there are 20 rows for each."""
+    least = max(8, math.ceil(SPILL * rows / leaf))
+    choices = sorted({min(MOST, max(1, len(z) // 20), f * least) for f in (1, 2)})
+    made = [started(z, k, seed, steps) for k in choices]
+    return min(made, key=lambda m: criterion(m.sums(z)[-1], len(z), len(m.means), z.shape[1]))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            views, leaf = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            values = unit(unpacked(batch.column(3), dim)) if batch.num_rows else None
-            places: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(views.tolist(), leaf)):
-                if key in held.value:
-                    places.setdefault(key, []).append(i)
-            for key, at in places.items():
-                mixture, matrix, offset = held.value[key]
-                for i, k in zip(at, mixture.log_parts(values[at] @ matrix - offset).argmax(axis=1)):
-                    leaf[i] = f"{leaf[i]}.{k}"
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf, pa.string()), batch.column(2), batch.column(3)], names=["view", "leaf", "no", "vec"])
-
-    return rows.mapInArrow(run, "view int, leaf string, no bigint, vec binary")
-
-
-def index(entries: DataFrame, views: int = VIEWS, held: int = HELD, dim: int = 64, sample: int = SAMPLE, levels: int = 8) -> DataFrame:
-    """view, leaf, no and vec: every entry (no, vec) once in each view, in components of at most ``held`` rows where rows can be told apart.
-
-    The first view is the mixture over all rows, by the information criterion; others, and what divides a component
-    further, are fitted on at most ``sample`` of its rows. Every row is indexed.
+def likely(mixture: Mixture, z, spill: int = SPILL):
+    """The ``spill`` most likely components of each row of ``z``, most likely first."""
+    parts = mixture.log_parts(z)
+    return np.argsort(-parts, axis=1, kind="stable")[:, :spill]
+
+
+def index(entries: DataFrame, views: int = VIEWS, leaf: int = LEAF, held: int = HELD, dim: int = 64, sample: int = SAMPLE, levels: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(view, leaf, no, vec): every entry (no, vec) in its likely components in each view; and (view, leaf, count) of these.
+
+    Mixtures are fitted on at most ``sample`` rows, those that divide a component further on at most INNER of its rows;
+    every row is indexed. Components have at most ``held`` rows where mixtures can tell rows apart; the leaf of others
+    ends in '!'.
     """
-    spark = entries.sparkSession
     reduction = Reduction(entries, dim)
-    first, _ = fit(entries, reduction, sample_of(entries, dim, sample), dim=dim)
-    rows = entries.select(F.explode(F.array(*[F.lit(v) for v in range(views)])).alias("view"), F.lit("").alias("leaf"), "no", "vec")
-    projections = {v: reduction.view(v) for v in range(views)}
-    models = _fit_each(spark, rows.where("view > 0"), [(v, "", reduction.rows) for v in range(1, views)], projections, held, dim, sample) if reduction.rows > held else {}
-    rows = cut(_divided(rows, models | {(0, ""): (first, *projections[0])}, dim))
-    stuck: set[tuple] = {(v, "") for v in range(1, views) if reduction.rows > held and (v, "") not in models}
-    for _ in range(levels):
-        large = [(r.view, r.leaf, r["count"]) for r in rows.groupBy("view", "leaf").count().where(F.col("count") > held).select("view", "leaf", "count").toLocalIterator()]
-        large = [x for x in large if x[:2] not in stuck]
-        if not large:
+    some = sample_of(entries, dim, sample)
+    projections = [reduction.view(v, WIDE) for v in range(views)]
+    tops = [chosen(unit(some) @ m - o, reduction.rows, leaf, 5 + v) if len(some) else None for v, (m, o) in enumerate(projections)]
+    models = entries.sparkSession.sparkContext.broadcast((projections, tops))  # at most MOST components each
+
+    def first(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        projections, tops = models.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = unit(unpacked(batch.column(1), dim))
+            for v, ((matrix, offset), mixture) in enumerate(zip(projections, tops)):
+                for component in likely(mixture, x @ matrix - offset).T:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v, np.int32)), pa.array([str(c) for c in component.tolist()]), *batch.columns], names=["view", "leaf", "no", "vec"])
+
+    rows = entries.select("no", "vec").mapInArrow(first, "view int, leaf string, no bigint, vec binary")
+    for level in range(levels):
+        sizes = cut(rows.groupBy("view", "leaf").count())
+        large = sizes.where((F.col("count") > held) & ~F.col("leaf").endswith("!"))
+        if large.isEmpty():
             break
-        for part in range(0, len(large), AT_ONCE):
-            some = large[part : part + AT_ONCE]
-            models = _fit_each(spark, rows, some, projections, held, dim, sample)
-            stuck |= {(v, n) for v, n, _ in some if (v, n) not in models}
-            rows = cut(_divided(rows, models, dim))
-    return rows
+        apart = _divided(rows.join(large, ["view", "leaf"]), large, reduction, leaf, held, dim, 100 * level)
+        rows = cut(rows.join(large, ["view", "leaf"], "left_anti").unionByName(apart))
+    return rows, sizes
 
 
-def divided_here(x, view: int, leaf: int, sample: int = 2000):
-    """Groups of at most ``leaf`` rows of unit vectors that one task holds, by mixtures over features of the rows themselves.
+def _divided(rows: DataFrame, large: DataFrame, reduction: Reduction, leaf: int, held: int, dim: int, seed: int) -> DataFrame:
+    """The ``rows`` (view, leaf, no, vec, count) of ``large`` components in those of a mixture of each, in one pass over all of them.
 
-    Views turn the features differently. Rows that no mixture tells apart stay together.
+    Each task gets a part of a component's rows, and before them the component's mixture.
     """
-    rng = np.random.default_rng([view, len(x)])
-    todo = [np.arange(len(x))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= leaf:
-            yield rows
-            continue
-        some = x[rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)]]
-        mean, scale = some.mean(axis=0), np.sqrt(np.maximum(some.var(axis=0), 1e-12))
-        _, directions = np.linalg.eigh(np.cov((some - mean).T / scale[:, None]))
-        among = directions[:, ::-1][:, : min(len(mean), 3 * REDUCED)]
-        turn, _ = np.linalg.qr(rng.standard_normal((among.shape[1], among.shape[1])))
-        matrix = among @ turn[:, : min(REDUCED, among.shape[1])] / scale[:, None]
-        z = (some - mean) @ matrix
-        made = [started(z, k, int(rng.integers(1 << 30)), 6) for k in sorted({min(16, max(2, math.ceil(len(rows) / leaf * f))) for f in (1.25, 2)})]
-        best = min(made, key=lambda m: criterion(m.sums(z)[-1], len(z), len(m.means), z.shape[1]))  # noqa: B023
-        label = best.log_parts((x[rows] - mean) @ matrix).argmax(axis=1)
-        kinds = np.unique(label)
-        if len(kinds) < 2:
-            yield rows
-        else:
-            todo += [rows[label == k] for k in kinds]
-
-
-def _fit_each(spark: SparkSession, rows: DataFrame, nodes: list[tuple], projections: dict, held: int, dim: int, sample: int) -> dict:
-    """A mixture for each (view, leaf, count), fitted in its own task on at most ``sample`` rows; none where all rows are alike."""
-    wanted = F.broadcast(spark.createDataFrame([(v, n, c) for v, n, c in nodes], "view int, leaf string, size bigint"))
-    by_hash = Window.partitionBy("view", "leaf").orderBy(F.xxhash64("no"))
-    chosen = rows.join(wanted, ["view", "leaf"]).withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= min(sample, 4000)).select("view", "leaf", "size", "vec")
-
-    def run(key, table):
+    by_hash = Window.partitionBy("view", "leaf").orderBy(F.xxhash64("no"), "no")
+    fitted = rows.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= INNER).select("view", "leaf", "count", "vec")
+
+    def fit_one(key, table):
         import pickle
 
         import pandas as pd
 
-        view, node = int(key[0].as_py() if hasattr(key[0], "as_py") else key[0]), key[1]
-        matrix, offset = projections[view]
+        view, name = table["view"].iloc[0], table["leaf"].iloc[0]
         x = unit(np.stack([np.frombuffer(v, "<f4") for v in table["vec"]]))
-        z = x @ matrix - offset
-        if float(z.var(axis=0).sum()) < 1e-12:
-            return pd.DataFrame({"view": [], "leaf": [], "model": []})
-        choices = sorted({max(2, min(32, math.ceil(table["size"].iloc[0] / held * f))) for f in (1.5, 3)})
-        made = [started(z, k, 7 + view, 8) for k in choices]
-        scores = [criterion(m.sums(z)[-1], len(z), len(m.means), z.shape[1]) for m in made]
-        best = made[int(np.argmin(scores))]
-        if len(np.unique(best.log_parts(z).argmax(axis=1))) < 2:
-            return pd.DataFrame({"view": [], "leaf": [], "model": []})
-        return pd.DataFrame({"view": [view], "leaf": [node], "model": [pickle.dumps(best)]})
-
-    import pickle
-
-    made = chosen.groupBy("view", "leaf").applyInPandas(run, "view int, leaf string, model binary")
-    return {(r.view, r.leaf): (pickle.loads(bytes(r.model)), *projections[r.view]) for r in made.collect()}
-
+        mean, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-12))  # features of the component itself
+        model = b""
+        if float(x.var(axis=0).sum()) > 1e-9:
+            _, directions = np.linalg.eigh(np.cov((x - mean).T / scale[:, None]))
+            among = directions[:, ::-1][:, : min(dim, 2 * WIDE)]
+            turn, _ = np.linalg.qr(np.random.default_rng([int(view), seed]).standard_normal((among.shape[1], among.shape[1])))
+            matrix = among @ (turn if view else np.eye(len(turn)))[:, : min(WIDE, among.shape[1])] / scale[:, None]
+            z = (x - mean) @ matrix
+            mixture = chosen(z, int(table["count"].iloc[0]), leaf, seed + int(view), 8)
+            if np.bincount(likely(mixture, z, 1)[:, 0]).max() < 0.95 * len(z):
+                model = pickle.dumps((mixture, matrix, mean @ matrix))
+        return pd.DataFrame({"view": [view], "leaf": [name], "vec": [model]})
+
+    models = fitted.groupBy("view", "leaf").applyInPandas(fit_one, "view int, leaf string, vec binary")
+    parts = F.ceil(F.col("count") / F.lit(held)).cast("int")
+    copies = models.join(large, ["view", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("view", "leaf", "part", F.lit(-1).cast("bigint").alias("no"), "vec")  # nos are not negative
+    spread = rows.select("view", "leaf", F.pmod(F.xxhash64("no"), parts).cast("int").alias("part"), "no", "vec")
+    ordered = copies.unionByName(spread).repartition("view", "leaf", "part").sortWithinPartitions("view", "leaf", "part", "no")
+
+    def divide(batches: Iterator) -> Iterator:
+        import pickle
 
-def close_links(rows: DataFrame, similarity: float, leaf: int = LEAF, held: int = HELD, dim: int = 64) -> DataFrame:
-    """a and b: links that join, within each group, exactly the entries joined by cosines of at least ``similarity``.
+        import pyarrow as pa
 
-    Components are divided into groups of at most ``leaf`` rows in the task that holds them. A group has at most one link
-    per entry. Components of more than ``held`` rows, which no mixture divides, are compared in all pairs of their parts.
+        model = None
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(3).to_numpy() < 0).tolist()
+            for low, high in zip([0, *starts], [*starts, batch.num_rows]):
+                if low in starts:
+                    made = batch.column(4)[low].as_py()
+                    model = pickle.loads(made) if made else None
+                    low += 1
+                piece = batch.take(pa.array(np.arange(low, high)))
+                if not piece.num_rows:
+                    continue
+                names = piece.column(1).to_pylist()
+                if model is None:
+                    yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([f"{n}!" for n in names]), piece.column(3), piece.column(4)], names=["view", "leaf", "no", "vec"])
+                    continue
+                mixture, matrix, offset = model
+                for component in likely(mixture, unit(unpacked(piece.column(4), dim)) @ matrix - offset).T:
+                    yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([f"{n}.{c}" for n, c in zip(names, component.tolist())]), piece.column(3), piece.column(4)], names=["view", "leaf", "no", "vec"])
+
+    return ordered.mapInArrow(divide, "view int, leaf string, no bigint, vec binary")
+
+
+def close_between(exact, quick, rows, columns, similarity: float, strip: int = 512):
+    """(row, column) of the pairs of a cosine of at least ``similarity``, once each where ``rows`` are ``columns``; float32 products choose, float64 ones decide."""
+    for start in range(0, len(rows), strip):
+        some, others = rows[start : start + strip], columns[start:] if rows is columns else columns
+        i, j = np.divmod(np.flatnonzero(quick[some] @ quick[others].T >= np.float32(similarity - 1e-5)), max(1, len(others)))
+        for part in range(0, len(i), 1 << 18):
+            a, b = some[i[part : part + (1 << 18)]], others[j[part : part + (1 << 18)]]
+            sure = np.round(np.einsum("ij,ij->i", exact[a], exact[b]), 12) >= similarity
+            yield a[sure], b[sure]
+
+
+def linked(values, similarity: float, asked=None, pivots: int = 4):
+    """(a, b) places of rows, links that join exactly the rows joined by cosines of at least ``similarity``, at most one for each row.
+
+    With ``asked``, a mask, only pairs of an asked row and another one count. Else rows alike to a pivot are joined
+    through it and need not be compared with each other, so a dense group costs no square of its size.
     """
-    sizes = rows.groupBy("view", "leaf").count()
-    large = sizes.where(F.col("count") > held).select("view", "leaf", F.ceil(F.col("count") / F.lit(max(1, held // 2))).cast("int").alias("parts"))
-    if large.isEmpty():  # what mixtures can tell apart always fits
-        spread = rows.select("view", "no", "vec", "leaf", F.lit("").alias("part"))
+    exact = unit(values)
+    quick = exact.astype(np.float32)
+    root = np.arange(len(values))
+
+    def join(i, j):
+        nonlocal root
+        while len(i):
+            a, b = root[i], root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+
+    if asked is not None:
+        for i, j in close_between(exact, quick, np.flatnonzero(asked), np.flatnonzero(~asked), similarity):
+            join(i, j)
     else:
-        cut_up = rows.join(large, ["view", "leaf"], "left").withColumn("own", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
-        pairs = "if(parts is null, array(''), transform(sequence(0, parts - 1), p -> concat('/', least(p, own), '/', greatest(p, own))))"
-        spread = cut_up.select("view", "no", "vec", "leaf", F.explode(F.expr(pairs)).alias("part"))
-    blocks = spread.select("view", F.concat("leaf", "part").alias("block"), "no", "vec").repartition("view", "block").sortWithinPartitions("view", "block")
+        free, sets = np.arange(len(values)), []
+        for _ in range(pivots):
+            if len(free) < 512:
+                break
+            pivot = free[np.argmax(exact[free] @ exact[free].mean(axis=0))]
+            near = np.round(exact[free] @ exact[pivot], 12) >= similarity
+            if near.mean() < 0.1:
+                break
+            sets.append(free[near])
+            join(np.full(near.sum(), pivot), free[near])
+            free = free[~near]
+        for at, rows in enumerate(sets):
+            for others in (*sets[at + 1 :], free):
+                for i, j in close_between(exact, quick, rows, others, similarity):
+                    join(i, j)
+        for i, j in close_between(exact, quick, free, free, similarity):
+            join(i, j)
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return root[at], at
+
+
+def close_links(rows: DataFrame, similarity: float, held: int = HELD, dim: int = 64, sizes: DataFrame | None = None) -> DataFrame:
+    """a and b: links that join, within each component (view, leaf), exactly the entries joined by cosines of at least ``similarity``.
+
+    A component has at most one link per entry. Of components of more than ``held`` rows, which no mixture divides, all
+    rows alike to one of them are linked to it; only rows that are not are compared with all others, in parts.
+    """
+    sizes = cut(rows.groupBy("view", "leaf").count()) if sizes is None else sizes
+    large = sizes.where(F.col("count") > held)
+    fits = sizes.where(F.col("count") <= held).count()
+    tasks = min(20_000, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), fits))
+    anyhow = large.isEmpty()
+    few = rows if anyhow else rows.join(large, ["view", "leaf"], "left_anti")
+    blocks = few.select(F.concat_ws("/", "view", "leaf").alias("block"), F.lit(True).alias("asked"), "no", "vec")
+    links = _compared(blocks, similarity, tasks, dim)
+    return (links if anyhow else links.unionByName(_large_links(rows.join(large, ["view", "leaf"]), large, similarity, held, dim))).distinct()
 
-    def compared(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        def linked(nos, values):
-            root = np.arange(len(nos))
-            for i, j, _ in close_pairs(values, similarity):
-                while len(i):
-                    a, b = root[i], root[j]
-                    apart = a != b
-                    i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-                    np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-                    while (root[root] != root).any():
-                        root = root[root]
-            at = np.flatnonzero(root != np.arange(len(nos)))
-            return pa.RecordBatch.from_arrays([pa.array(nos[root[at]]), pa.array(nos[at])], names=["a", "b"])
+def _compared(blocks: DataFrame, similarity: float, tasks: int, dim: int) -> DataFrame:
+    """Links within each block (block, asked, no, vec): of all pairs, or where some rows are not asked of the asked ones with these."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
         kept: list[tuple] = []
         name = None
 
         def flush():
             if kept:
-                nos, values = np.concatenate([h[0] for h in kept]), np.concatenate([h[1] for h in kept])
+                asked, nos, values = (np.concatenate(x) for x in zip(*kept))
                 kept.clear()
-                whole = len(nos) <= leaf or "/" in name[1]
-                for group in [np.arange(len(nos))] if whole else divided_here(unit(values), name[0], leaf):
-                    out = linked(nos[group], values[group])
-                    if out.num_rows:
-                        yield out
+                a, b = linked(values, similarity, None if asked.all() else asked)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(nos[a]), pa.array(nos[b])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            keys = batch.column(0).to_pylist()
             starts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            nos, values = batch.column(2).to_numpy(), unpacked(batch.column(3), dim)
+            asked, nos, values = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), unpacked(batch.column(3), dim)
             for low, high in zip(starts, starts[1:]):
                 if keys[low] != name:
                     yield from flush()
                     name = keys[low]
-                kept.append((nos[low:high], values[low:high]))
+                kept.append((asked[low:high].astype(bool), nos[low:high], values[low:high]))
         yield from flush()
 
-    return blocks.mapInArrow(compared, "a bigint, b bigint").distinct()
+    return blocks.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint")
+
+
+def _large_links(rows: DataFrame, large: DataFrame, similarity: float, held: int, dim: int) -> DataFrame:
+    """Links of ``rows`` (view, leaf, count, no, vec) in components too large for a task."""
+    by_hash = Window.partitionBy("view", "leaf").orderBy(F.xxhash64("no"), "no")
+    some = rows.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= 256)
+
+    def middle(table):
+        x = unit(np.stack([np.frombuffer(v, "<f4") for v in table["vec"]]))
+        return table.iloc[[int(np.argmax(x @ x.mean(axis=0)))]][["view", "leaf", "count", "no", "vec"]]
+
+    parts = F.ceil(F.col("count") / F.lit(max(1, held // 2))).cast("int")
+    pivots = some.groupBy("view", "leaf").applyInPandas(middle, "view int, leaf string, count bigint, no bigint, vec binary")
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("view", "leaf", "part", F.col("no").alias("pivot"), F.col("vec").alias("pivot_vec"))
+    spread = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
+
+    def covered(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                near = np.round(np.einsum("ij,ij->i", unit(unpacked(batch.column(5), dim)), unit(unpacked(batch.column(7), dim))), 12) >= similarity
+                yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(near)], names=["view", "leaf", "part", "parts", "no", "vec", "pivot", "near"])
+
+    joined = spread.join(pivots, ["view", "leaf", "part"]).select("view", "leaf", "part", "parts", "no", "vec", "pivot", "pivot_vec")
+    marked = cut(joined.mapInArrow(covered, "view int, leaf string, part int, parts int, no bigint, vec binary, pivot bigint, near boolean"))
+    through = marked.where("near and no <> pivot").select(F.col("pivot").alias("a"), F.col("no").alias("b"))
+    rest = marked.where("not near")
+    left = rest.groupBy("view", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, held // 2))).cast("int").alias("rests"))
+    name = F.concat_ws("/", "view", "leaf", "part", "q")
+    asking = rest.join(left, ["view", "leaf"]).withColumn("q", F.pmod(F.xxhash64("no", F.lit(1)), F.col("rests"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(name.alias("block"), F.lit(True).alias("asked"), "no", "vec")
+    others = marked.join(left, ["view", "leaf"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select(name.alias("block"), F.lit(False).alias("asked"), "no", "vec")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return through.unionByName(_compared(asking.unionByName(others), similarity, tasks, dim))
 
 
 def groups(vectors: DataFrame, similarity: float = 0.85, least: int = 3, views: int = VIEWS, leaf: int = LEAF, held: int = HELD, dim: int = 64) -> DataFrame:
@@ -401,7 +485,8 @@ def groups(vectors: DataFrame, similarity: float = 0.85, least: int = 3, views:
     """
     named = cut(distinct_vectors(vectors, dim))
     entries = cut(named.groupBy("same").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("no", F.monotonically_increasing_id()))
-    links = cut(close_links(index(entries.select("no", "vec"), views, held, dim), similarity, leaf, held, dim))
+    rows, sizes = index(entries.select("no", "vec"), views, leaf, held, dim)
+    links = cut(close_links(rows, similarity, held, dim, sizes))
     joined = connected_components(links).select(F.col("node").alias("no"), "component")
     labelled = entries.join(joined, "no", "left").select("same", "least", "n", F.coalesce("component", "no").alias("component"))
     large = labelled.groupBy("component").agg(F.min("least").alias("group_id"), F.sum("n").alias("n")).where(F.col("n") >= least).select("component", "group_id")

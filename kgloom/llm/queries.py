@@ -202,7 +202,9 @@ def _described(spark: SparkSession, folder: str, members: DataFrame, by: str, ty
     best = members.withColumn("at", F.row_number().over(dense)).where(F.col("at") <= typical_ids).groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("typical_ids"))
     nodes = current_rows(table(spark, folder, "graph_nodes").where("id is not null").select("id", "updated_at", trimmed("orig_id").alias("orig_id"), "top_keywords"), ["id"], ["updated_at"], ["orig_id", "top_keywords"])
     words = nodes.select("orig_id", F.explode("top_keywords").alias("term")).select("orig_id", F.lower(trimmed("term")).alias("term")).where("term <> ''").distinct()
-    held = members.select(by, F.regexp_extract("id", r"^usr_[^_]*_(.*)$", 1).alias("orig_id")).join(words, "orig_id").groupBy(by, "term").count()
+    owners = current_rows(table(spark, folder, "node_vectors").select(trimmed("id").alias("id"), trimmed("user_id").alias("user_id"), "updated_at").where("id is not null"), ["id"], ["updated_at"], ["user_id"])
+    named = members.select(by, "id").join(owners, "id").select(by, F.expr("if(startswith(id, concat(user_id, '_')), substring(id, length(user_id) + 2), id)").alias("orig_id"))
+    held = named.join(words, "orig_id").groupBy(by, "term").count()
     often = Window.partitionBy(by).orderBy(F.desc("count"), "term")
     top = held.withColumn("at", F.row_number().over(often)).where(F.col("at") <= terms).groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("top_keywords"))
     return best.join(top, by, "left")

@@ -136,7 +136,7 @@ def test_leaves_that_are_too_large_lose_no_link(spark):
             up[max(a, b)] = min(a, b)
         return [find(x) for x in range(n)]
 
-    got = [(r.a, r.b) for r in close_links(rows, 0.85, leaf=16, held=32, dim=8).collect()]
+    got = [(r.a, r.b) for r in close_links(rows, 0.85, held=32, dim=8).collect()]
     assert parts(got) == parts([(i, j) for i in range(n) for j in range(i) if close[i, j]])
 
 
@@ -189,3 +189,33 @@ def test_every_vector_has_its_nearest_beyond_the_threshold(spark):
     np.fill_diagonal(cos, -2)
     got = sorted((int(r.id[1:]), r.rank, int(r.near_id[1:])) for r in nearest(frame(spark, values), 4, dim=16, beyond=True).collect())
     assert got == [(i, n + 1, int(j)) for i in range(300) for n, j in enumerate(np.lexsort((np.arange(300), -cos[i]))[:4])]
+
+
+def test_small_tables_are_divided_and_every_row_is_indexed(spark):
+    from kgloom.llm.mixture import SPILL, index
+
+    values = cloud(np.random.default_rng(13), spread=0.05)
+    entries = frame(spark, values).selectExpr("cast(rank as bigint) as no", "vec")
+    rows, sizes = index(entries, dim=8)
+    got = rows.select("view", "leaf", "no").collect()
+    assert len(got) == 2 * SPILL * len(values) == len({tuple(r) for r in got}) and max(r["count"] for r in sizes.collect()) < 0.8 * len(values)
+    rows, sizes = index(entries, leaf=64, held=128, dim=8)
+    assert max(r["count"] for r in sizes.collect()) <= 128 and {r.no for r in rows.where("view = 1").select("no").collect()} == set(range(len(values)))
+
+
+def test_a_dense_group_is_linked_through_a_pivot():
+    from kgloom.llm.mixture import linked
+
+    rng = np.random.default_rng(14)
+    values = np.concatenate([np.ones((1500, 8)) + 0.1 * rng.standard_normal((1500, 8)), cloud(rng, centres=5, noise=60)]).astype("<f4")
+    close = cosines(values) >= 0.85
+    want = np.arange(len(values))
+    for _ in range(len(values)):
+        fresh = np.array([want[row].min() for row in close])
+        if (fresh == want).all():
+            break
+        want = fresh
+    a, b = linked(values, 0.85)
+    got = np.arange(len(values))
+    got[b] = a
+    assert (got == want).all()

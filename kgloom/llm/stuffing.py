@@ -44,13 +44,14 @@ _TABLE = re.compile(r"^\s*\|.*\|\s*$|^[\s|:+-]*-{3,}[\s|:+-]*$")
 _BULLET = re.compile(r"^\s*(?:[-*+•>|]\s+|\d+[.)]\s+|#{1,6}\s+|[QA]:\s+)+")
 _HAN = re.compile(r"[一-鿿]+")
 _HANGUL = re.compile(r"[가-힣]")
-_SEPARATOR = re.compile(r"\s[|/·•+]\s|[,;·•|]|\n")
+SEPARATORS = (",", ";", "|", "·", "•", "\n", " / ", " + ")
 
 
 _FUNCTION = {lang: frozenset(words) for lang, words in FUNCTION_WORDS.items()}
 _KANA = re.compile(r"[\u3040-\u30ff]")
 _SPLIT = re.compile(r"[.!?。！？]")
 
+_MARKS = ".,;:!?()[]{}<>\"'`*_#|/\\+-=&%$@~…„“”«»–—·•\t\r"
 #: Pages from which a language is learnt, words that are kept of it as its own and as its function words, and languages that are learnt.
 LEAST_PAGES, VOCABULARY, LEARNT, MOST_LANGUAGES = 50, 5_000, 300, 50
 #: Pieces shaped like sentences from which the limits of a language are taken.
@@ -172,6 +173,7 @@ def _listlike(lines: list[str]) -> bool:
     return sum(function_words(line, w, _ANY_FUNCTION)[1] < 0.15 for line, w in zip(lines, words)) > 0.6 * len(lines)
 
 
+#: Below the least limits of WITHIN the shares of the top word and pair are given by what they can be at most.
 PIECE = "n int, function_words float, found int, top_word float, top_pair float, separators float, ended boolean, repeated boolean"
 
 
@@ -179,16 +181,17 @@ def measures(text: str | None, functions: dict[str, frozenset] = _FUNCTION, voca
     """Language and whether it is sure, words in links, tags, attributes and tables, and what PIECE names of each piece."""
     counts, pieces = segments(text or "")
     every = [w for _, words, _ in pieces for w in words]
-    lang, sure = home_language(" ".join(p for p, *_ in pieces), every, functions, vocabulary)
+    lang, sure = home_language(text or "", every, functions, vocabulary)
     known = _ANY_FUNCTION | functions.get(lang, frozenset())  # pages quote other languages
     out = []
     for piece, words, again in pieces:
         found, share = function_words(piece, words, known)
         n = len(words)
-        top = max(Counter(words).values()) / n if n > 3 else 0.0
-        pair = 2 * max(Counter(zip(words, words[1:])).values()) / n if n > 11 else 0.0
+        most = n - len(set(words)) + 1  # of which a top word can't have more
+        top = 0.0 if n < 4 else most / n if most <= 0.3 * n else max(Counter(words).values()) / n
+        pair = 0.0 if n < 12 else 2 * most / n if 2 * most <= 0.35 * n else 2 * max(Counter(zip(words, words[1:])).values()) / n
         ended = piece.rstrip("\"'”») \t\r")[-1:] in tuple(".!?。！？")
-        out.append((n if piece.isascii() else weight(words), share, found, top, pair, len(_SEPARATOR.findall(piece)) / n, ended, again))
+        out.append((n if piece.isascii() else weight(words), share, found, top, pair, sum(map(piece.count, SEPARATORS)) / n, ended, again))
     return lang, sure, [counts["link"], counts["tag"], counts["attribute"], counts["table"]], out
 
 
@@ -200,13 +203,17 @@ def learnt(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[
     as the most frequent word, the vocabulary the VOCABULARY most frequent words; both sizes and the number of languages
     are bounded, whatever the corpus is.
     """
-    rows = df.select(F.lower(F.substring(F.trim(F.col(lang).cast("string")), 1, 2)).alias("lang"), F.lower(F.col(text)).alias("t")).where("lang rlike '^[a-z]{2}$' and length(t) >= 200")
+    rows = df.select(F.lower(F.substring(F.trim(F.col(lang).cast("string")), 1, 2)).alias("lang"), F.col(text).alias("t")).where("lang rlike '^[a-z]{2}$' and length(t) >= 200")
     held = [r.lang for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_PAGES).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
     if not held:
         return {}, {}
-    pieces = rows.where(F.col("lang").isin(held)).select("lang", F.explode(F.split("t", r"(?<=[.!?])\s+|\n")).alias("p"))
-    sized = pieces.select("lang", F.col("p").rlike(r"[.!?][\"'”»)]*\s*$").alias("ended"), F.split("p", r"[^\p{L}]+").alias("w"))
-    words = sized.select("lang", (F.col("ended") & (F.size("w") >= 7)).cast("int").alias("inside"), F.explode("w").alias("word")).where("word <> ''")
+    lines = F.lower("t")
+    for mark in ".!?":
+        lines = F.replace(lines, F.lit(f"{mark} "), F.lit(f"{mark}\n"))
+    pieces = rows.where(F.col("lang").isin(held)).select("lang", F.explode(F.split(lines, "\n")).alias("p"))
+    plain = F.translate("p", _MARKS, " " * len(_MARKS))
+    sized = pieces.select("lang", F.right(F.rtrim("p"), F.lit(1)).isin(".", "!", "?").alias("ended"), F.split(plain, " ").alias("w"))
+    words = sized.select("lang", (F.col("ended") & (F.size("w") >= 7)).cast("bigint").alias("inside"), F.explode("w").alias("word")).where("word <> ''")
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"), F.sum("inside").alias("inside"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     often = counts.where("n >= 3").withColumn("at", F.row_number().over(order)).where(F.col("at") <= VOCABULARY).orderBy("lang", "at").collect()
@@ -214,6 +221,8 @@ def learnt(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[
     vocabulary: dict[str, list] = {}
     most = {r.lang: r.n for r in reversed(often)}
     for r in often:
+        if not r.word.isalpha():
+            continue
         vocabulary.setdefault(r.lang, []).append(r.word)
         if r.inside >= 0.98 * r.n and 200 * r.n >= most[r.lang] and len(functions.setdefault(r.lang, [])) < LEARNT:
             functions[r.lang].append(r.word)

@@ -246,8 +246,9 @@ SELECT seed, node, distance FROM (SELECT *, row_number() OVER (PARTITION BY seed
     "j10_shortest_paths": _R + """ends AS (SELECT DISTINCT min(vec_id) AS start, max(vec_id) AS goal FROM v GROUP BY label), b AS (SELECT source AS a, target AS b FROM l3 UNION ALL SELECT target, source FROM l3),
 w AS (SELECT DISTINCT start, start AS node, [start] AS path FROM ends UNION ALL SELECT w.start, b.b, list_append(path, b.b) FROM w JOIN b ON w.node = b.a WHERE len(path) <= 4 AND NOT list_contains(path, b.b))
 SELECT start, goal, (len(path) - 1)::INT AS length, array_to_string(path, ',') AS path FROM (SELECT e.start, e.goal, path, row_number() OVER (PARTITION BY e.start, e.goal ORDER BY len(path), path) AS r FROM ends e JOIN w ON w.start = e.start AND w.node = e.goal) WHERE r = 1""",
-    "j11_subgraph": _W + """, seeds AS (SELECT min(vec_id) AS seed FROM v GROUP BY label), n AS (SELECT seed AS node FROM seeds UNION SELECT peer FROM both_l JOIN seeds ON node = seed)
-SELECT 'node' AS kind, node AS a, NULL::BIGINT AS b FROM n UNION ALL SELECT 'edge', source, target FROM l WHERE source IN (SELECT node FROM n) AND target IN (SELECT node FROM n)""",
+    "j11_subgraph": _W + """, one AS MATERIALIZED (SELECT source, target FROM l), seeds AS MATERIALIZED (SELECT min(vec_id) AS seed FROM v GROUP BY label),
+n AS MATERIALIZED (SELECT seed AS node FROM seeds UNION SELECT target FROM one JOIN seeds ON source = seed UNION SELECT source FROM one JOIN seeds ON target = seed)
+SELECT 'node' AS kind, node AS a, NULL::BIGINT AS b FROM n UNION ALL SELECT 'edge', source, target FROM one WHERE source IN (SELECT node FROM n) AND target IN (SELECT node FROM n)""",
     "k2_nearest_centroid": _W + "SELECT vec_id, label, confidence FROM (SELECT vec_id, mu.label::BIGINT AS label, round(least(1.0, greatest(0.0, list_dot_product(u, c))), 6) AS confidence, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(u, c), 9) DESC, mu.label) AS r FROM v, mu) WHERE r = 1",
     "k4_merged_centroids": _R + """x AS (SELECT a.label AS a, b.label AS b FROM mu a, mu b WHERE a.label = b.label OR list_dot_product(a.c, b.c) > 0.5), r AS (SELECT a AS label, b AS other FROM x UNION SELECT r.label, x.b FROM r JOIN x ON r.other = x.a)
 SELECT label::BIGINT AS label, min(other)::BIGINT AS merged FROM r GROUP BY label""",

@@ -12,6 +12,7 @@ from kgloom.operators import lookup as L
 from kgloom.operators import parsing as T
 from kgloom.operators import projections as P
 from kgloom.operators import retrieval as R
+from kgloom.operators.density import density_clusters
 from kgloom.operators.similarity import pooled
 from kgloom.operators.trees import tree_edges
 from kgloom.queries import graph as G
@@ -212,6 +213,11 @@ def j15_standard_names(spark, folder):
     return E.standard_names(frame, ["place"], variants)
 
 
+def k3_density_clusters(spark, folder):
+    """Clusters of different density among each label's vectors."""
+    return density_clusters(G.vectors(spark, folder), "label", "vec_id", "embedding", least_size=3)
+
+
 def l6_contexts(spark, folder):
     rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("chunk_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("position"))
     chunks = table(spark, folder, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise(F.col("o_orderpriority")).alias("text"))

@@ -136,7 +136,7 @@ def e19_names_by_type(spark, folder):
 
 def k6_by_words(spark, folder):
     """Every node's cluster by its keywords, against clusters described by their name and most frequent terms."""
-    n = nodes(spark, folder)
+    n = cut(nodes(spark, folder).select("id", "cluster_id", "cluster_name", "terms"))
     terms = n.where("cluster_id is not null").select("cluster_id", F.explode("terms").alias("term")).where("term <> ''").groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("n"))
     themes = terms.groupBy("cluster_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "term"))), lambda s: s["term"]), 1, 10).alias("themes"))
     names = n.where("cluster_id is not null").groupBy("cluster_id").agg(F.min("cluster_name").alias("name"))

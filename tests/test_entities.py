@@ -1,3 +1,5 @@
+import numpy as np
+
 from kgloom.operators import assignment as A
 from kgloom.operators import entities as E
 from kgloom.operators import retrieval as R
@@ -58,3 +60,33 @@ def test_assignment(spark):
     assert got["b"].is_new and got["c"].is_new and got["d"].is_new and got["b"].confidence == 1.0
     scores = spark.createDataFrame([("a", "k1", 0.5, 0.2), ("a", "k2", 0.1, 0.9), ("b", "k1", 0.5, 0.0), ("c", "k1", 0.1, -0.5)], "item string, cluster_id string, word_score double, vector_score double")
     assert {r.item: r.cluster_id for r in A.guarded(scores).collect()} == {"a": "k2", "b": "k1", "c": "cluster_misc"}
+
+
+def test_assignment_joins_no_item_with_every_cluster(spark, monkeypatch):
+    import random
+
+    r = random.Random(1)
+    phrase = lambda: " ".join(r.choices("ash beech cedar fir elm oak pine yew".split(), k=r.randint(1, 3)))
+    said = {k: [phrase() for _ in range(r.randint(1, 6))] for k in range(60)} | {60: ["nothing known"], 61: []}
+    known = {f"c{k:02}": [phrase() for _ in range(r.randint(1, 5))] for k in range(29)} | {"c29": ["willow"]}
+    share = lambda a, b: len(a & b) / len(a | b)
+
+    def score(item, cluster):
+        a, b = [set(p.split()) for p in item], [set(p.split()) for p in cluster]
+        x, y, best = set().union(*a), set().union(*b), sorted((max(share(p, q) for q in b) for p in a), reverse=True)[:3]
+        return 0.5 * len(x & y) / len(x) + 0.3 * share(x, y) + 0.2 * (sum(best) / len(best))
+
+    items = spark.createDataFrame(list(said.items()), "item long, keywords array<string>")
+    clusters = spark.createDataFrame([(c, None, "", t) for c, t in known.items()], "cluster_id string, name string, description string, themes array<string>")
+    got = A.by_words(items, clusters, 0.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = {k: max((score(p, t), c) for c, t in known.items()) if p else (0.0, None) for k, p in said.items()}
+    assert want[60] == (0.0, "c29")
+    assert {r.item: (r.score, r.cluster_id) for r in got.collect()} == want
+    monkeypatch.setattr(A, "AT_ONCE", 100)  # of 30 clusters: items three by three, and rows for three keys
+    monkeypatch.setattr(A, "KEPT", 100)
+    index, every = A._Known(list(known.values())), [p for ps in said.values() for p in ps]
+    kept = [A._Kept(make, len(known)) for make in (index.having, index.closest)]
+    at, scores = index.best(len(said), np.repeat(np.arange(len(said)), [len(p) for p in said.values()]), np.arange(len(every)), every, *kept)
+    assert {k: (float(s), f"c{c:02}" if c >= 0 else None) for k, c, s in zip(said, at, scores)} == want
